@@ -172,16 +172,13 @@ class PrefixCounter:
         return np.array(out, dtype=np.int64)
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """Length up to which no prefix of the text has more tokens than the budget."""
+        """Length of the longest prefix that has at most ``budget`` tokens."""
         chunks, ends = self.chunk_ends(text)
         k = int(np.searchsorted(ends, budget, side="right"))
         at = sum(map(len, chunks[:k]))
-        if k < len(chunks):
+        if k < len(chunks):  # counts at chunk ends never fall, so no later chunk holds a fit
             before = int(ends[k - 1]) if k else 0
-            for n in self.chunk_table(chunks[k]):
-                if before + n > budget:
-                    break
-                at += 1
+            at += max((j for j, n in enumerate(self.chunk_table(chunks[k]), 1) if before + n <= budget), default=0)
         return at
 
 
