@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def scalar(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def number(c: Column) -> Column:
