@@ -38,6 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most a thousand rows: whole documents are wide rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,52 +123,46 @@ def components(edges: DataFrame) -> DataFrame:
 TILE, SMALL = 256, 8
 
 
-def tile_groups(postings: DataFrame, pair_filter=None, tile: int = TILE, small: int = SMALL) -> DataFrame:
+def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, small: int = SMALL) -> DataFrame:
     """Which members must be compared with which: rows (ti, tj, tile, id).
 
-    ``postings`` has (g, id, size, ...): id carries key g. Keys with one member are
-    dropped. Members are dealt into tiles of at most ``tile``, those sharing their most
-    frequent key side by side. Short lists give single pairs (``pair_filter`` prunes
-    them); long lists give pairs of tiles, so a list of m members costs
-    (m / tile)^2 tile pairs and no pair of members is ever a row. Each pair of members
-    meets in exactly one (ti, tj).
+    ``postings`` has (g, id, size, ...): id carries key g. One shuffle by g counts each
+    list and gives the members of a short list their single partners; ``near`` (of two
+    posting structs) and ``refine`` (of pairs (a, b)) prune those. Members of long lists
+    are dealt into tiles of at most ``tile``, side by side if they share their most
+    frequent key, and long lists give pairs of tiles: m members cost (m / tile)^2 rows, and
+    no pair of them is ever a row. Any two members meet in at most one (ti, tj).
     """
     w = Window.partitionBy("g")
-    shared = postings.withColumn("cnt", F.count("*").over(w)).filter("cnt > 1")
-    shared = materialize(shared, "postings")
-    home = shared.groupBy("id").agg(
-        F.max(F.struct("cnt", "g")).getField("g").alias("sig"), F.first("size").alias("size")
-    )
+    order = w.orderBy("id")
+    row = F.struct(*[c for c in postings.columns if c != "g"])
+    after = F.array_compact(F.array(*[F.lead(row, k).over(order) for k in range(1, small)]))
+    shared = postings.withColumns({"cnt": F.count("*").over(w), "after": after}).filter("cnt > 1")
+
+    def partner(x):
+        return (x["id"] > F.col("id")) & (near(row, x) if near else F.lit(True))
+
+    ids = F.transform(F.filter("after", partner), lambda x: x["id"])
+    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, ids).otherwise(F.array().cast("array<long>")))
+    shared = materialize(shared.filter((F.col("cnt") > small) | (F.size("partners") > 0)).select("g", "id", "size", "cnt", "partners"), "postings")
+    pairs = shared.filter(F.col("cnt") <= small).select(F.col("id").alias("a"), F.explode("partners").alias("b")).distinct()
+    pairs = materialize(refine(pairs) if refine else pairs, "pairs")
+    hot = shared.filter(F.col("cnt") > small).select("g", "id", "size", "cnt")
+    home = hot.groupBy("id").agg(F.max(F.struct("cnt", "g")).getField("g").alias("sig"), F.first("size").alias("size"))
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
+    lone = ends.groupBy("id").agg(F.min("o").alias("o")).join(home.select("id"), "id", "left_anti")
+    home = home.unionByName(lone.select("id", F.xxhash64(F.least("id", "o"), F.lit("pair")).alias("sig"), F.lit(0).cast("long").alias("size")))
     rank = F.row_number().over(Window.partitionBy("sig").orderBy("size", "id"))
-    home = materialize(
-        home.withColumn("sub", F.floor((rank - 1) / tile)).select(
-            "id", "size", F.xxhash64("sig", "sub").alias("tile")
-        ),
-        "tiles",
-    )
-    p = shared.join(home.select("id", "tile"), "id")
-    few = p.filter(F.col("cnt") <= small)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
-    if pair_filter is not None:
-        pairs = pairs.filter(pair_filter("a", "b"))
-    ends = F.array(
-        F.struct(F.col("a.tile").alias("tile"), F.col("a.id").alias("id")),
-        F.struct(F.col("b.tile").alias("tile"), F.col("b.id").alias("id")),
-    )
-    single = pairs.select(
-        F.least("a.tile", "b.tile").alias("ti"), F.greatest("a.tile", "b.tile").alias("tj"),
-        F.explode(ends).alias("e"),
-    ).select("ti", "tj", "e.tile", "e.id")
-    spread = p.filter(F.col("cnt") > small).select("g", "tile").distinct()
+    home = home.withColumn("sub", F.floor((rank - 1) / tile))
+    home = materialize(home.select("id", F.xxhash64("sig", "sub").alias("tile")), "tiles")
+    both = pairs.join(home.select(F.col("id").alias("a"), F.col("tile").alias("ta")), "a").join(home.select(F.col("id").alias("b"), F.col("tile").alias("tb")), "b")
+    member = F.array(F.struct(F.col("ta").alias("tile"), F.col("a").alias("id")), F.struct(F.col("tb").alias("tile"), F.col("b").alias("id")))
+    single = both.select(F.least("ta", "tb").alias("ti"), F.greatest("ta", "tb").alias("tj"), F.explode(member).alias("e")).select("ti", "tj", "e.tile", "e.id")
+    spread = hot.select("g", "id").join(home, "id").select("g", "tile").distinct()
     x, y = spread.alias("x"), spread.alias("y")
-    tiles = (
-        x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.tile") <= F.col("y.tile")))
-        .select(F.col("x.tile").alias("ti"), F.col("y.tile").alias("tj"))
-        .distinct()
-    )
-    both = tiles.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("tile"))
-    return single.unionByName(both.join(home.select("id", "tile"), "tile").select("ti", "tj", "tile", "id")).distinct()
+    tiles = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.tile") <= F.col("y.tile"))).select(F.col("x.tile").alias("ti"), F.col("y.tile").alias("tj")).distinct()
+    ends = tiles.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("tile"))
+    return single.unionByName(ends.join(home, "tile").select("ti", "tj", "tile", "id")).distinct()
 
 
 def sorted_groups(batches, keys: list[str]):

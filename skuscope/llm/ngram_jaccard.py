@@ -21,12 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_bitmap, key_bitmap, materialize, mix, roots, shingle_sets, sorted_groups, tile_groups
+from .common import components, in_bitmap, key_bitmap, materialize, mix, roots, shingle_sets, small_batches, sorted_groups, tile_groups
 
 SKETCH_BITS, SLICES = 20, 16
 PARITY_BITS = 512
 
 
+#: Bytes of a shingle hash that travel to be verified: within one pair 48 bits tell shingles apart.
+WIDTH = 6
+
+
+def narrow(grams: np.ndarray) -> bytes:
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def widen(raw) -> np.ndarray:
+    part = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDTH)
+    full = np.zeros((len(part), 8), dtype=np.uint8)
+    full[:, :WIDTH] = part
+    return full.view("<u8").ravel()
+
+
 def frequency_sketch(docs: DataFrame, k: int):
     """Broadcast document frequencies of shingles, by hash slot (2^20 counters, 4 MB)."""
     spark, size = docs.sparkSession, 1 << SKETCH_BITS
@@ -138,7 +153,7 @@ def verify(groups: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for (ti, tj), t in sorted_groups(batches, ["ti", "tj"]):
             ids, tile = t["id"].to_numpy(), t["tile"].to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["grams"]]
+            sets = [widen(x.as_buffer()) for x in t["grams"]]
             n = np.array([len(s) for s in sets])
             order = np.argsort(ids)
             own = [i for i in order if tile[i] == ti]
@@ -176,7 +191,7 @@ def fetch_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), k)], pa.binary())], ["id", "grams"]
+                        [part.column(0), pa.array([narrow(s) for s in shingle_sets(part.column(1), k)], pa.binary())], ["id", "grams"]
                     )
 
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -185,32 +200,33 @@ def fetch_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked when den*|A∩B| >= num*|A∪B|."""
+    small_batches(docs.sparkSession)
     info = materialize(describe(docs, k, num, den), "shingles")
     full = info.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("f1", "f2", "n_shingles").agg(
         F.min(F.struct("doc_id", "parity", "prefix")).alias("r")
     ).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("size"), "f1", "f2", "r.parity", "r.prefix")
     reps = materialize(reps, "classes")
-    postings = reps.select("id", "size", "parity", F.posexplode("prefix").alias("pos", "g"))
-
-    def near(a: str, b: str):
-        """Length, positional and suffix (hash-partition parity) filters; all are exact bounds."""
-        na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
-        pa_, pb = F.col(f"{a}.pos"), F.col(f"{b}.pos")
-        length = (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        ahead = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-        positional = ahead * (num + den) >= (na + nb) * num
-        apart = F.aggregate(
-            F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-        )
-        suffix = apart * (num + den) <= (na + nb) * (den - num)
-        return length & positional & suffix
-
-    groups = materialize(tile_groups(postings, near), "groups")
+    postings = reps.select("id", "size", F.posexplode("prefix").alias("pos", "g"))
+
+    def near(a, b):
+        """Length and positional filters; both are exact bounds."""
+        length = F.least(a["size"], b["size"]) * den >= F.greatest(a["size"], b["size"]) * num
+        ahead = F.least(a["pos"], b["pos"]) + 1 + F.least(a["size"] - a["pos"] - 1, b["size"] - b["pos"] - 1)
+        return length & (ahead * (num + den) >= (a["size"] + b["size"]) * num)
+
+    def suffix(pairs: DataFrame) -> DataFrame:
+        """Suffix filter: parities of the sets' hash partitions bound their difference from below."""
+        for c in ("a", "b"):
+            pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}")), c)
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return pairs.filter(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+
+    groups = materialize(tile_groups(postings, near, suffix), "groups")
     grams = fetch_sets(docs, groups.select("id").distinct(), k)
     # rows repeating a doc_id may differ in text: take the set of the class that was indexed
     keyed = reps.select("id", "size")
-    grams = grams.join(keyed, "id").filter(F.octet_length("grams") == 8 * F.col("size")).groupBy("id").agg(F.min("grams").alias("grams"))
+    grams = grams.join(keyed, "id").filter(F.octet_length("grams") == WIDTH * F.col("size")).groupBy("id").agg(F.min("grams").alias("grams"))
     links = verify(groups.join(grams, "id"), num, den)
     copies = full.join(reps.select("f1", "f2", F.col("size").alias("n_shingles"), F.col("id").alias("b")), ["f1", "f2", "n_shingles"])
     edges = links.unionByName(copies.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
