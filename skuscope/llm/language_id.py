@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LONGEST, MAX_WORDS = 48, 6, 600_000
+from .common import small_batches
+
+BLOCK, LONGEST, MAX_WORDS = 48, 6, 300_000
 #: Scale per letter that keeps products of a block within double range.
 SCALE, FLOOR = 500.0, 1e-6
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -209,6 +211,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x pieces, a fixed size
 
     def run(batches):
