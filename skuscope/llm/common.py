@@ -130,8 +130,8 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, s
     list and gives the members of a short list their single partners; ``near`` (of two
     posting structs) and ``refine`` (of pairs (a, b)) prune those. Members of long lists
     are dealt into tiles of at most ``tile``, side by side if they share their most
-    frequent key, and long lists give pairs of tiles: m members cost (m / tile)^2 rows, and
-    no pair of them is ever a row. Any two members meet in at most one (ti, tj).
+    frequent key, and each goes to the tiles that its long lists reach, so a list of m
+    members in k tiles costs m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
     """
     w = Window.partitionBy("g")
     order = w.orderBy("id")
@@ -158,11 +158,11 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, s
     both = pairs.join(home.select(F.col("id").alias("a"), F.col("tile").alias("ta")), "a").join(home.select(F.col("id").alias("b"), F.col("tile").alias("tb")), "b")
     member = F.array(F.struct(F.col("ta").alias("tile"), F.col("a").alias("id")), F.struct(F.col("tb").alias("tile"), F.col("b").alias("id")))
     single = both.select(F.least("ta", "tb").alias("ti"), F.greatest("ta", "tb").alias("tj"), F.explode(member).alias("e")).select("ti", "tj", "e.tile", "e.id")
-    spread = hot.select("g", "id").join(home, "id").select("g", "tile").distinct()
-    x, y = spread.alias("x"), spread.alias("y")
-    tiles = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.tile") <= F.col("y.tile"))).select(F.col("x.tile").alias("ti"), F.col("y.tile").alias("tj")).distinct()
-    ends = tiles.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("tile"))
-    return single.unionByName(ends.join(home, "tile").select("ti", "tj", "tile", "id")).distinct()
+    spread = hot.select("g", "id").join(home, "id")
+    x, y = spread.alias("x"), spread.select("g", "tile").distinct().alias("y")
+    met = x.join(y, F.col("x.g") == F.col("y.g"))  # a member travels only to the tiles of its own lists
+    met = met.select(F.least("x.tile", "y.tile").alias("ti"), F.greatest("x.tile", "y.tile").alias("tj"), F.col("x.tile").alias("tile"), F.col("x.id").alias("id"))
+    return single.unionByName(met).distinct()
 
 
 def sorted_groups(batches, keys: list[str]):
