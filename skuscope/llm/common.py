@@ -119,17 +119,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- tiles
-#: Members of one tile, and the longest posting list whose pairs are listed one by one.
-TILE, SMALL = 256, 8
+#: Most members of one tile, most of their summed sizes, and the longest posting list whose
+#: pairs are listed one by one. A tile exceeds WEIGHT by its last member at most.
+TILE, WEIGHT, SMALL = 1024, 1 << 19, 8
 
 
-def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, small: int = SMALL) -> DataFrame:
+def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, weight: int = WEIGHT, small: int = SMALL) -> DataFrame:
     """Which members must be compared with which: rows (ti, tj, tile, id).
 
     ``postings`` has (g, id, size, ...): id carries key g. One shuffle by g counts each
     list and gives the members of a short list their single partners; ``near`` (of two
     posting structs) and ``refine`` (of pairs (a, b)) prune those. Members of long lists
-    are dealt into tiles of at most ``tile``, side by side if they share their most
+    are dealt into tiles of at most ``tile`` (and of bounded summed size), side by side if they share their most
     frequent key, and each goes to the tiles that its long lists reach, so a list of m
     members in k tiles costs m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
     """
@@ -152,8 +153,9 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, s
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
     lone = ends.groupBy("id").agg(F.min("o").alias("o")).join(home.select("id"), "id", "left_anti")
     home = home.unionByName(lone.select("id", F.xxhash64(F.least("id", "o"), F.lit("pair")).alias("sig"), F.lit(0).cast("long").alias("size")))
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy("size", "id"))
-    home = home.withColumn("sub", F.floor((rank - 1) / tile))
+    load = F.greatest(F.col("size"), F.lit(-(-weight // tile)))
+    before = F.sum(load).over(Window.partitionBy("sig").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, 0)) - load
+    home = home.withColumn("sub", F.floor(before / weight))
     home = materialize(home.select("id", F.xxhash64("sig", "sub").alias("tile")), "tiles")
     both = pairs.join(home.select(F.col("id").alias("a"), F.col("tile").alias("ta")), "a").join(home.select(F.col("id").alias("b"), F.col("tile").alias("tb")), "b")
     member = F.array(F.struct(F.col("ta").alias("tile"), F.col("a").alias("id")), F.struct(F.col("tb").alias("tile"), F.col("b").alias("id")))
