@@ -120,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- tiles
 #: Most members of one tile, most of their summed sizes, and the longest posting list whose
-#: pairs are listed one by one. A tile exceeds WEIGHT by its last member at most.
+#: pairs are listed one by one. A tile exceeds WEIGHT by about one key's or member's share.
 TILE, WEIGHT, SMALL = 1024, 1 << 19, 8
 
 
@@ -129,10 +129,12 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, w
 
     ``postings`` has (g, id, size, ...): id carries key g. One shuffle by g counts each
     list and gives the members of a short list their single partners; ``near`` (of two
-    posting structs) and ``refine`` (of pairs (a, b)) prune those. Members of long lists
-    are dealt into tiles of at most ``tile`` (and of bounded summed size), side by side if they share their most
-    frequent key, and each goes to the tiles that its long lists reach, so a list of m
-    members in k tiles costs m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
+    posting structs) and ``refine`` (of pairs (a, b, na, nb), n the sizes) prune those.
+    Members of long lists are dealt into tiles of about ``tile`` (of bounded summed size):
+    those with the same most frequent key lie side by side, and so do keys that two rounds
+    of label propagation find connected, so that most groups meet inside one tile. Each
+    member goes to the tiles that its lists reach, so a list of m members in k tiles costs
+    m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
     """
     w = Window.partitionBy("g")
     order = w.orderBy("id")
@@ -143,20 +145,16 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, w
     def partner(x):
         return (x["id"] > F.col("id")) & (near(row, x) if near else F.lit(True))
 
-    ids = F.transform(F.filter("after", partner), lambda x: x["id"])
-    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, ids).otherwise(F.array().cast("array<long>")))
+    found = F.transform(F.filter("after", partner), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size")))
+    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, found))
     shared = materialize(shared.filter((F.col("cnt") > small) | (F.size("partners") > 0)).select("g", "id", "size", "cnt", "partners"), "postings")
-    pairs = shared.filter(F.col("cnt") <= small).select(F.col("id").alias("a"), F.explode("partners").alias("b")).distinct()
+    pairs = shared.filter(F.col("cnt") <= small).select(F.col("id").alias("a"), F.col("size").alias("na"), F.explode("partners").alias("p"))
+    pairs = pairs.select("a", F.col("p.id").alias("b"), "na", F.col("p.size").alias("nb")).distinct()
     pairs = materialize(refine(pairs) if refine else pairs, "pairs")
     hot = shared.filter(F.col("cnt") > small).select("g", "id", "size", "cnt")
-    home = hot.groupBy("id").agg(F.max(F.struct("cnt", "g")).getField("g").alias("sig"), F.first("size").alias("size"))
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
-    lone = ends.groupBy("id").agg(F.min("o").alias("o")).join(home.select("id"), "id", "left_anti")
-    home = home.unionByName(lone.select("id", F.xxhash64(F.least("id", "o"), F.lit("pair")).alias("sig"), F.lit(0).cast("long").alias("size")))
-    load = F.greatest(F.col("size"), F.lit(-(-weight // tile)))
-    before = F.sum(load).over(Window.partitionBy("sig").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, 0)) - load
-    home = home.withColumn("sub", F.floor(before / weight))
-    home = materialize(home.select("id", F.xxhash64("sig", "sub").alias("tile")), "tiles")
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("size")), F.struct(F.col("b").alias("id"), F.col("nb").alias("size")))
+    both = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(ends).alias("e"), F.lit(2).cast("long").alias("cnt"))
+    home = tile_homes(hot.unionByName(both.select("g", "e.id", "e.size", "cnt")), tile, weight)
     both = pairs.join(home.select(F.col("id").alias("a"), F.col("tile").alias("ta")), "a").join(home.select(F.col("id").alias("b"), F.col("tile").alias("tb")), "b")
     member = F.array(F.struct(F.col("ta").alias("tile"), F.col("a").alias("id")), F.struct(F.col("tb").alias("tile"), F.col("b").alias("id")))
     single = both.select(F.least("ta", "tb").alias("ti"), F.greatest("ta", "tb").alias("tj"), F.explode(member).alias("e")).select("ti", "tj", "e.tile", "e.id")
@@ -167,6 +165,22 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, w
     return single.unionByName(met).distinct()
 
 
+def tile_homes(links: DataFrame, tile: int, weight: int) -> DataFrame:
+    """(id, tile) of the ids of (g, id, size, cnt); a key with more than a tile holds deals its ids by hash."""
+    home = materialize(links.groupBy("id").agg(F.max(F.struct("cnt", "g")).alias("sig"), F.max("size").alias("size")), "homes")
+    label = home.select("id", F.col("sig").alias("label"))
+    for _ in range(2):
+        top = links.select("g", "id").join(label, "id").groupBy("g").agg(F.max("label").alias("label"))
+        label = links.select("g", "id").join(top, "g").groupBy("id").agg(F.max("label").alias("label"))
+    home = materialize(home.join(label, "id").select("id", "size", F.col("sig.g").alias("sig"), F.col("label.g").alias("label")), "homes")
+    load = F.greatest(F.col("size"), F.lit(-(-weight // tile)))
+    keys = home.groupBy("label", "sig").agg(F.sum(load).alias("load"))
+    before = F.sum("load").over(Window.partitionBy("label").orderBy("sig").rowsBetween(Window.unboundedPreceding, 0)) - F.col("load")
+    keys = keys.select("label", "sig", F.ceil(F.col("load") / weight).alias("parts"), F.floor(before / weight).alias("place"))
+    part = F.when(F.col("parts") > 1, F.xxhash64("sig", F.pmod(F.xxhash64("id"), "parts"))).otherwise(F.col("place"))
+    return materialize(home.join(keys, ["label", "sig"]).select("id", F.xxhash64("label", part).alias("tile")), "tiles")
+
+
 def sorted_groups(batches, keys: list[str]):
     """Consecutive rows with equal keys of a sorted partition, as one Table a group."""
     held, last = [], None

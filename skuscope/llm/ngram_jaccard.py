@@ -25,6 +25,8 @@ from .common import components, in_bitmap, key_bitmap, materialize, mix, roots,
 
 SKETCH_BITS, SLICES = 20, 16
 PARITY_BITS = 512
+#: Sets above this size also carry their hash partitions' counts (mod 256), one byte each.
+LONG = 1024
 
 
 #: Bytes of a shingle hash that travel to be verified: within one pair 48 bits tell shingles apart.
@@ -83,20 +85,21 @@ def frequency_sketch(docs: DataFrame, k: int):
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, parity, prefix) of each row."""
+    """(doc_id, n_shingles, f1, f2, parity, counts, prefix) of each row."""
     sketch = frequency_sketch(docs, k)
 
     def run(batches):
         freq, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
-            n, f1, f2, parity, prefix, at = [], [], [], [], [], [0]
+            n, f1, f2, parity, counts, prefix, at = [], [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), k):
                 m = len(s)
                 n.append(m)
                 f1.append(int(mix(s).sum(dtype=np.uint64)))
                 f2.append(int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
-                odd = (np.bincount((s >> np.uint64(40)) & np.uint64(PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)
-                parity.append(np.packbits(odd).view(np.int64))
+                count = np.bincount((s >> np.uint64(40)) & np.uint64(PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8)
+                parity.append(np.packbits(count & 1).view(np.int64))
+                counts.append(count.tobytes() if m > LONG else b"")
                 p = m - -(-num * m // den) + 1 if m else 0
                 order = np.lexsort((s, freq[s & mask]))[:p]
                 prefix.append(s[order].view(np.int64))
@@ -110,12 +113,13 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     batch.column(0), pa.array(n, pa.int64()),
                     pa.array(np.array(f1, dtype=np.uint64).view(np.int64)), pa.array(np.array(f2, dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, rows * words + 1, words), pa.int32()), pa.array(bits)),
+                    pa.array(counts, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
                 ],
-                ["doc_id", "n_shingles", "f1", "f2", "parity", "prefix"],
+                ["doc_id", "n_shingles", "f1", "f2", "parity", "counts", "prefix"],
             )
 
-    kind = "doc_id long, n_shingles long, f1 long, f2 long, parity array<long>, prefix array<long>"
+    kind = "doc_id long, n_shingles long, f1 long, f2 long, parity array<long>, counts binary, prefix array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
@@ -147,6 +151,44 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], chunk: int = 4096) -> np.
     return np.rint(out).astype(np.int64)
 
 
+def screen(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (ti, tj, tile, id) of (..., size, parity, counts) that some row of the other side may link with.
+
+    Length filter, and suffix filter on whole groups: sets differ by at least the sum over
+    hash partitions of the circular distance of their counts (mod 2 for all, mod 256 for long sets).
+    """
+    words = PARITY_BITS // 64
+
+    def run(batches):
+        for (ti, tj), t in sorted_groups(batches, ["ti", "tj"]):
+            tile, n = t["tile"].to_numpy(), t["size"].to_numpy()
+            parity = t["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            counts = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in t["counts"]]
+            long = np.array([len(c) > 0 for c in counts])
+            own = np.flatnonzero(tile == ti)
+            other = own if ti == tj else np.flatnonzero(tile == tj)
+            keep = np.zeros(len(n), dtype=bool)
+            far = other[long[other]]
+            table = np.stack([counts[j] for j in far]) if len(far) else None
+            for lo in range(0, len(own), 64):
+                part = own[lo : lo + 64]
+                total = n[part][:, None] + n[other][None, :]
+                apart = np.bitwise_count(parity[part][:, None, :] ^ parity[other][None, :, :]).sum(axis=2, dtype=np.int64)
+                ok = (apart * (num + den) <= total * (den - num)) & (np.minimum(n[part][:, None], n[other][None, :]) * den >= np.maximum(n[part][:, None], n[other][None, :]) * num)
+                ok &= part[:, None] != other[None, :]
+                if table is not None:
+                    for r in np.flatnonzero(long[part]).tolist():
+                        d = table - counts[part[r]][None, :]
+                        off = np.minimum(d, np.negative(d)).sum(axis=1, dtype=np.int64)
+                        ok[r, long[other]] &= off * (num + den) <= (n[far] + n[part[r]]) * (den - num)
+                keep[part] |= ok.any(axis=1)
+                keep[other] |= ok.any(axis=0)
+            if keep.any():
+                yield from t.select(["ti", "tj", "tile", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return groups.repartition("ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(run, "ti long, tj long, tile long, id long")
+
+
 def verify(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that span the true links within each (ti, tj) of (ti, tj, tile, id, grams)."""
 
@@ -204,8 +246,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     info = materialize(describe(docs, k, num, den), "shingles")
     full = info.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("f1", "f2", "n_shingles").agg(
-        F.min(F.struct("doc_id", "parity", "prefix")).alias("r")
-    ).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("size"), "f1", "f2", "r.parity", "r.prefix")
+        F.min(F.struct("doc_id", "parity", "counts", "prefix")).alias("r")
+    ).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("size"), "f1", "f2", "r.parity", "r.counts", "r.prefix")
     reps = materialize(reps, "classes")
     postings = reps.select("id", "size", F.posexplode("prefix").alias("pos", "g"))
 
@@ -218,11 +260,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     def suffix(pairs: DataFrame) -> DataFrame:
         """Suffix filter: parities of the sets' hash partitions bound their difference from below."""
         for c in ("a", "b"):
-            pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}")), c)
+            pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("parity").alias(f"p{c}")), c)
         apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return pairs.filter(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+        return pairs.filter(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b", "na", "nb")
 
-    groups = materialize(tile_groups(postings, near, suffix), "groups")
+    marks = reps.select("id", "size", "parity", "counts")
+    groups = materialize(screen(tile_groups(postings, near, suffix).join(marks, "id").select("ti", "tj", "tile", "id", "size", "parity", "counts"), num, den), "groups")
     grams = fetch_sets(docs, groups.select("id").distinct(), k)
     # rows repeating a doc_id may differ in text: take the set of the class that was indexed
     keyed = reps.select("id", "size")
