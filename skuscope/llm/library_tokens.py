@@ -36,6 +36,7 @@ class ChunkEncoder:
         spaces = any(s.get("type") == "Replace" and s["pattern"].get("Regex") == "\\s+" for s in steps)
         removed = any(s.get("type") == "Split" and s.get("invert") for s in pre.get("pretokenizers", []))
         self.kind = "word" if spaces and removed else "byte" if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not steps else "whole"
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", [])):
             self.kind = "whole"
         self.size = self.tokenizer.get_vocab_size()
@@ -49,7 +50,9 @@ class ChunkEncoder:
         if self.kind == "whole":
             return [text]
         if self.kind == "word" and text.isascii():
-            text = text.lower()  # as its normalizer does; special strings are lower case
+            low = text.lower()  # as its normalizer does, but no special string may arise
+            if not any(s in low for s in self.special):
+                text = low
         return cut(text, self.kind == "word")
 
     def learn(self, new: list[str]) -> None:

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "a", "a  b\n\n c\t d <|endoftext|> x", "I've 12,345 <|endoftext|>.", "日本語 テキスト 🎉🎉 naïve é", "don't 'RE 'll  ",
     " lead", "trail ", "ΣΑΣ İstanbul ß", "\x00\x1c \x85a\xa0b \x01 c", "<|startoftext|>hi<|endoftext|>", "x'y", "'", "((a.,), b.", "word, word. Word!\nWord", "z" * 5000,
-    "word, word. Word!\nWord",
+    "word, word. Word!\nWord", "<|endoftext|> b <|ENDOFTEXT|> <|EndOfText|>", "क़लम a ﬁn ﬀ ǅ ß ẞ aͅ b ẛ̣ q ªº ʰ ა Ა ᲀ İx",
 ]
 
 
