@@ -13,7 +13,7 @@ import numpy as np
 
 from .chunks import cut
 
-MAX_CHUNKS = 700_000
+MAX_CHUNKS, WORDS_A_CALL = 700_000, 256
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -40,6 +40,11 @@ class ChunkEncoder:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", [])):
             self.kind = "whole"
         self.size = self.tokenizer.get_vocab_size()
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.last = None  # ids that end a word, where the vocabulary marks them
+        if self.kind == "word" and suffix:
+            self.last = np.zeros(self.size, dtype=bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.encode_many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
@@ -56,11 +61,38 @@ class ChunkEncoder:
         return cut(text, self.kind == "word")
 
     def learn(self, new: list[str]) -> None:
+        if self.last is not None:
+            words, rest = [], []
+            for c in new:
+                (words if c.removeprefix(" ").isalpha() else rest).append(c)
+            new = rest + self.learn_words(words)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             for c, e in zip(part, self.encode_many(part, add_special_tokens=False)):
                 self.known[c] = array("I", e.ids).tobytes()
 
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Learns words of letters, many to a call; gives back those that must be encoded singly.
+
+        Each has at least one pre-token, so as many word ends as words mean one each.
+        """
+        groups = [words[lo : lo + WORDS_A_CALL] for lo in range(0, len(words), WORDS_A_CALL)]
+        left = []
+        for lo in range(0, len(groups), 16):
+            part = groups[lo : lo + 16]
+            lines = [" ".join([w.removeprefix(" ") for w in g]) for g in part]
+            for g, e in zip(part, self.encode_many(lines, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(ends) != len(g):
+                    left += g
+                    continue
+                data, at = ids.tobytes(), 0
+                for w, end in zip(g, ends):
+                    self.known[w] = data[at:end]
+                    at = end
+        return left
+
     def encode(self, texts: list[str]):
         """Ids (uint32 array) of each text, in order."""
         lo = 0
