@@ -244,6 +244,24 @@ def test_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_lines_recall(spark):
+    """Links that edit similarity alone, over all pairs, finds between lines with a few words or letters changed."""
+    rng = random.Random(7)
+    vocabulary = ["of", "to", "in", "the", *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 11))) for _ in range(600))]
+    docs = []
+    for i in range(160):
+        words = rng.choices(vocabulary, k=rng.choice([5, 9, 20, 40, 90]))
+        copy = list(words)
+        for k in rng.sample(range(len(words)), max(1, len(words) // 10)):
+            copy[k] = rng.choice(vocabulary) if i % 2 else copy[k][:-1] + "q"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    lines = [L.normalise(t) for _, t in docs]
+    links = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if L.similar(lines[a], lines[b], 80, 100)]
+    want = {i for i, root in rooted(range(len(docs)), links).items() if root != i}
+    got = {r["doc_id"] for r in L.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 140 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_embeddings(spark):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     rng = np.random.default_rng(0)
