@@ -449,7 +449,7 @@ def embedding_cosine(m):
 
 
 def _parsed(m):
-    df = m.offers().filter("product_name like 'small%'").selectExpr("country_code", "shop_id", "item_id", "concat(product_name, ' ', cast(size as int) * 10, 'g serum banh quy') as product_name", "brand", "seller_entity_id", "list_price as price")
+    df = m.offers().selectExpr("country_code", "shop_id", "item_id", "concat(product_name, ' ', cast(size as int) * 10, 'g serum banh quy') as product_name", "brand", "seller_entity_id", "list_price as price")
     return parse.with_attributes(df).withColumn("catid", F.xxhash64("product_name"))
 
 

@@ -23,3 +23,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_matching_covers_every_offer(spark, tmp_path):
+    """Each offer has the top 10 of all its eligible partners, counted by brute force, or a placeholder."""
+    parts = [(i, f"{('small', 'red', 'old')[i % 3]} ring", f"Brand#{i % 7 + 1 if i < 38 else 30 + i % 2}", "LARGE", i % 9 + 1, 900.0 + i) for i in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    shop = {i: int(brand.split("#")[1]) for i, _, brand, *_ in parts}
+    want = {i: min(10, sum(j % 2 == i % 2 and shop[j] % 10 != shop[i] % 10 for j in shop)) for i in shop}
+    rows = catalog.QUERIES["match_topk"](spark, str(tmp_path)).collect()
+    assert {i: sum(r["source_item_id"] == i and r["target_item_id"] is not None for r in rows) for i in shop} == want
+    assert {r["source_item_id"] for r in rows} == set(shop)
+    counts = catalog.QUERIES["match_type_counts"](spark, str(tmp_path)).collect()
+    assert sum(r["rows"] for r in counts) == len(rows)
