@@ -7,7 +7,7 @@ trie node of the token being read); exactly one configuration stands at a token
 after every byte. States of the deterministic machine are sets of configurations with
 their not yet emitted outputs; they are built on demand and emit a token as soon as all
 live configurations agree on it, so lookahead is bounded by the longest token. Paths of
-whole pattern matches are remembered up to a fixed number.
+short chunks (at most ``KEPT`` characters) are remembered up to a fixed number.
 
 Decoding. Each token id moves a four-phase UTF-8 state machine; transitions of whole
 tokens are compiled on demand from the byte-level machine, bytes of incomplete
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .chunks import cut
 
 #: Bounds of what one Python worker remembers; beyond them it starts afresh.
-MAX_STATES, MAX_PATHS, MAX_PAIRS = 300_000, 700_000, 1_000_000
+MAX_STATES, MAX_PATHS, MAX_PAIRS, KEPT = 300_000, 700_000, 1_000_000, 24
 
 
 class Transducer:
@@ -157,9 +157,10 @@ class Encoder:
         for match in self.find(chunk):
             ids += self.machine.encode(match.encode("utf-8", "surrogatepass"))
         raw = array("I", ids).tobytes()
-        if len(self.paths) >= MAX_PATHS:
-            self.paths.clear()
-        self.paths[chunk] = raw
+        if len(chunk) <= KEPT:
+            if len(self.paths) >= MAX_PATHS:
+                self.paths.clear()
+            self.paths[chunk] = raw
         return raw
 
     def encode(self, text: str) -> np.ndarray:

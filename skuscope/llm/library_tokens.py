@@ -1,8 +1,9 @@
 """Whole-text encoding by the tokenizers library, with chunks remembered.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct chunk is
-encoded by the library once per worker (up to a fixed number), and ids are concatenated.
-A text for which the cut isn't certain is given to the library whole.
+encoded by the library once per worker, and ids are concatenated. What a worker remembers
+is bounded in chunks and in characters; chunks of more than ``KEPT`` characters (texts for
+which the cut isn't certain are one chunk) are encoded where they occur and forgotten.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import numpy as np
 
 from .chunks import cut
 
-MAX_CHUNKS, WORDS_A_CALL = 700_000, 256
+#: At most so many chunks and characters of chunks are remembered, each of at most KEPT characters.
+MAX_CHUNKS, MAX_CHARS, KEPT, WORDS_A_CALL = 700_000, 12_000_000, 64, 256
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -37,7 +39,7 @@ class ChunkEncoder:
         removed = any(s.get("type") == "Split" and s.get("invert") for s in pre.get("pretokenizers", []))
         self.kind = "word" if spaces and removed else "byte" if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not steps else "whole"
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", [])):
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or t["content"][:2] != "<|" for t in spec.get("added_tokens", [])):
             self.kind = "whole"
         self.size = self.tokenizer.get_vocab_size()
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
@@ -46,6 +48,7 @@ class ChunkEncoder:
             self.last = np.zeros(self.size, dtype=bool)
             self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.chars = 0
         self.encode_many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def whole(self, text: str) -> bytes:
@@ -104,12 +107,20 @@ class ChunkEncoder:
             parts = [self.chunks(t) for t in texts[lo:hi]]
             known = self.known
             fresh = set().union(*parts).difference(known)
-            if len(known) + len(fresh) > MAX_CHUNKS:  # start afresh: memory stays bounded
+            more = sum(map(len, fresh))
+            if len(known) + len(fresh) > MAX_CHUNKS or self.chars + more > MAX_CHARS:  # start afresh: memory stays bounded
                 known.clear()
                 fresh = {x for c in parts for x in c}
+                self.chars, more = 0, sum(map(len, fresh))
             self.learn(list(fresh))
-            for c in parts:
-                yield np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4")
+            found = [b"".join(map(known.__getitem__, c)) for c in parts]
+            self.chars += more
+            for c in fresh:
+                if len(c) > KEPT:
+                    del known[c]
+                    self.chars -= len(c)
+            for ids in found:
+                yield np.frombuffer(ids, dtype="<u4")
             lo = hi
 
 

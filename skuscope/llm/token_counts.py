@@ -7,8 +7,9 @@ last token before it. Words don't interact, so the count at any prefix of a text
 running sum of its finished words plus the entry of the word it cuts. Totals, truncation
 points and budget questions read the table; nothing is encoded again.
 
-Words outside the program's alphabet (special strings, scripts with irregular lower case,
-unnormalised text) take their table from the library itself.
+Text outside the program's alphabet (special strings, unnormalised or irregular scripts)
+takes its total from the library; its prefixes run through the same program, one cluster (a
+character and what composes with it) after another, in time linear in their length.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); texts of any length are whole;
 an empty table gives an empty result; repeated rows and other columns are harmless.
@@ -27,7 +28,21 @@ from pyspark.sql import functions as F
 from .chunks import cut
 from .library_tokens import texts_of
 
-MAX_WORDS, MAX_PAIRS = 1_000_000, 2_000_000
+#: What a worker remembers: words of at most KEPT characters, and pairs of tokens.
+MAX_WORDS, MAX_PAIRS, KEPT = 1_000_000, 2_000_000, 24
+
+
+def composing() -> frozenset[str]:
+    """Characters that may join with what stands before them when text is composed."""
+    out = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in range(0x110000):
+        ch = chr(c)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            out.add(chr(int(parts[1], 16)))
+        if unicodedata.combining(ch):
+            out.add(ch)
+    return frozenset(out)
 
 
 def byte_alphabet() -> list[str]:
@@ -43,6 +58,87 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Word:
+    """The program's table of one word, grown and cut back symbol by symbol."""
+
+    def __init__(self, owner: "PrefixCounter", text: str = ""):
+        self.owner, self.text, self.last, self.count = owner, "", [""], [0]
+        self.push(text)
+
+    def push(self, more: str) -> None:
+        self.text += more
+
+    def upto(self, size: int) -> None:
+        vocab, fits, longest, text = self.owner.vocab, self.owner.fits, self.owner.longest, self.text
+        for i in range(len(self.last), size):
+            for j in range(max(0, i - longest), i):
+                t = text[j:i]
+                if t in vocab and fits(self.last[j], t):
+                    self.last.append(t)
+                    self.count.append(self.count[j] + 1)
+                    break
+
+    def cut(self, size: int) -> None:
+        self.text = self.text[:size]
+        del self.last[max(size, 1) :], self.count[max(size, 1) :]
+
+    def total(self) -> int:
+        """Tokens of what stands there, taken as a whole word."""
+        size, owner = len(self.text), self.owner
+        self.upto(size)
+        for j in range(max(0, size - owner.longest), size):
+            t = self.text[j:] + owner.end
+            if t in owner.vocab and owner.fits(self.last[j], t):
+                return self.count[j] + 1
+        return 0
+
+
+class Scan:
+    """Counts after each character of normalised text; ``mark`` and ``back`` undo trial steps.
+
+    Kinds of the open word: L letters, P other signs, N closed, A an apostrophe that may begin
+    a contraction, B an apostrophe and a letter that may.
+    """
+
+    def __init__(self, owner: "PrefixCounter"):
+        self.owner, self.done, self.word, self.kind, self.before = owner, 0, Word(owner), "", (0, "")
+
+    def mark(self) -> tuple:
+        return self.done, self.word, len(self.word.text), self.kind, self.before
+
+    def back(self, state: tuple) -> None:
+        self.done, self.word, size, self.kind, self.before = state
+        self.word.cut(size)
+
+    def total(self) -> int:
+        return self.done + self.word.total()
+
+    def open(self, text: str, kind: str) -> None:
+        self.done, self.word, self.kind = self.total(), Word(self.owner, text), kind
+
+    def step(self, ch: str) -> None:
+        kind, text = self.owner.kind_of(ch), self.owner._stand_in(ch)
+        if self.kind == "B":
+            done, first = self.before
+            if first + ch in ("re", "ve", "ll"):
+                self.done, self.word, self.kind = done, Word(self.owner, f"'{first}{ch}"), "N"
+                return
+            self.kind = "L"
+        if self.kind == "A" and ch in "stmd":
+            self.word.push(ch)
+            self.kind = "N"
+        elif self.kind == "A" and ch in "rvl":
+            self.before = (self.done, ch)
+            self.open(ch, "B")
+        elif kind == "P" and self.kind in ("A", "P") or kind == "L" and self.kind == "L":
+            self.word.push(text)
+            self.kind = kind
+        elif not kind:
+            self.open("", "")
+        else:
+            self.open(text, "A" if ch == "'" else kind)
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         import os
@@ -68,6 +164,17 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, int] = {}
+        self.kinds: dict[str, str] = {}
+        self.joins: frozenset[str] = frozenset()
+
+    def kind_of(self, ch: str) -> str:
+        """L, N, P or nothing (white space), as the library's own pre-tokenizer splits."""
+        kind = self.kinds.get(ch)
+        if kind is None:
+            pieces = lambda t: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(t))
+            kind = "" if not pieces(ch) else "L" if pieces("a" + ch) == 1 else "P" if pieces("!" + ch) == 1 else "N"
+            self.kinds[ch] = kind
+        return kind
 
     def merge(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -134,20 +241,48 @@ class PrefixCounter:
     def chunk_total(self, chunk: str) -> int:
         n = self.words.get(chunk)
         if n is None:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
             if self.plain(chunk):
                 n = sum(self.word_table(self._stand_in(m[0]), False)[0] for m in self.find(chunk.lower()))
             else:
                 n = self.library(chunk)
-            self.words[chunk] = n
+            if len(chunk) <= KEPT:
+                if len(self.words) >= MAX_WORDS:
+                    self.words.clear()
+                self.words[chunk] = n
         return n
 
+    def scan(self, text: str) -> list[int]:
+        """Tokens of text[:1], text[:2], ...; ``text`` holds no special string."""
+        self.joins = self.joins or composing()
+        form, state, out, lo = self.tokenizer.normalizer.normalize_str, Scan(self), [], 0
+        while lo < len(text):
+            hi = lo + 1
+            while hi < len(text) and text[hi] in self.joins:
+                hi += 1
+            start = state.mark()
+            for k in range(lo + 1, hi + 1):
+                state.back(start)
+                for ch in form(text[lo:k]):
+                    state.step(ch)
+                out.append(state.total())
+            lo = hi
+        return out
+
     def chunk_table(self, chunk: str) -> list[int]:
         """Tokens of chunk[:1], chunk[:2], ..."""
-        if not self.plain(chunk) or "'" in chunk or "<|" in chunk:
-            return [self.library(chunk[:k]) for k in range(1, len(chunk) + 1)]
         out, done = [], 0
+        if not self.plain(chunk) or "'" in chunk:
+            lo = 0
+            while lo < len(chunk):
+                at, special = min(((i, s) for s in self.special if (i := chunk.find(s, lo)) >= 0), default=(len(chunk), ""))
+                hi = at + len(special)
+                part = self.scan(chunk[lo : hi - 1] if special else chunk[lo:])
+                out += [done + n for n in part]
+                if special:
+                    done += (part[at - lo - 1] if at > lo else 0) + 1
+                    out.append(done)
+                lo = hi
+            return out
         for m in self.find(chunk.lower()):
             out += [done] * (m.start() - len(out))
             table, at = self.word_table(self._stand_in(m[0]), True), 0

@@ -18,7 +18,7 @@ from skuscope.llm.library_tokens import encoder
 SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "a", "a  b\n\n c\t d <|endoftext|> x", "I've 12,345 <|endoftext|>.", "日本語 テキスト 🎉🎉 naïve é", "don't 'RE 'll  ",
-    " lead", "trail ", "ΣΑΣ İstanbul ß", "\x00\x1c \x85a\xa0b \x01 c", "<|startoftext|>hi<|endoftext|>", "x'y", "'", "((a.,), b.", "word, word. Word!\nWord", "z" * 5000,
+    " lead", "trail ", "ΣΑΣ İstanbul ß", "\x00\x1c \x85a\xa0b \x01 c", "<|startoftext|>hi<|endoftext|>", "x'y", "'", "((a.,), b.", "word, word. Word!\nWord", "z" * 5000, "a\n\nb\n\n\nc   d \n e  ", "x\n\n<|endoftext|>\n\n", "İ. נּ. נּ, ½.",
     "word, word. Word!\nWord", "<|endoftext|> b <|ENDOFTEXT|> <|EndOfText|>", "क़लम a ﬁn ﬀ ǅ ß ẞ aͅ b ẛ̣ q ªº ʰ ა Ა ᲀ İx",
 ]
 
@@ -76,6 +76,57 @@ def test_library_chunks_equal_whole_texts(texts):
             assert ids.tolist() == ref.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_every_assigned_character():
+    """Before and after a full stop, alone and in a word, in all four encoders."""
+    import unicodedata
+
+    texts = [f"x{c}. {c}, y" for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ref = [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in encoder(P.path(name)).encode(texts)] == ref
+    c = C.counter(P.path("word_bpe_49k.json"))
+    assert [int(c.chunk_ends(t)[1][-1]) for t in texts] == [len(i) for i in ref]
+    ranks = B.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own = B.Encoder(ranks, P.PATTERN)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(own.encode(t).tolist() == want.encode_ordinary(t) for t in texts)
+
+
+PIECES = [
+    " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x1c", "\x85", "a", "Bc", ".", ",", "'", "'s", "'re", "'R", "é", "e\u0301", "\u0301", "İ", "日本語", "1", "½", "<|endoftext|>", "<|", "!",
+    "ﬁ", "क़", "नि", "한", "\u1112\u1161\u11ab", "\x01",
+]
+
+
+def test_random_strings_and_their_prefixes():
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(PIECES, rng.integers(1, 9))) for _ in range(20_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ref = [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in encoder(P.path(name)).encode(texts)] == ref
+    ranks = B.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own, want = B.Encoder(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(own.encode(t).tolist() == want.encode_ordinary(t) for t in texts)
+    c = C.counter(P.path("word_bpe_49k.json"))
+    for t in texts[:1000]:
+        assert c.table(t).tolist() == [len(e.ids) for e in c.tokenizer.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)], t
+
+
+def test_workers_remember_a_bounded_amount():
+    texts = [f"word{i} one\n\n" + "日本" * i + "\n \n  tail  " for i in range(400)] + ["z" * 100_000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoder(P.path(name))
+        list(e.encode(texts))
+        assert max(map(len, e.known)) <= 64 and sum(map(len, e.known)) == e.chars
+    own = B.Encoder(B.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    for t in texts[:50]:
+        own.encode(t)
+    assert max(map(len, own.paths)) <= B.KEPT
+    c = C.counter(P.path("word_bpe_49k.json"))
+    assert len(c.table("日本語テキスト" * 1500)) == 7 * 1500 + 1  # linear: seconds, not minutes
+    assert max(map(len, c.words)) <= C.KEPT
+
+
 def test_token_counts(spark, odd, texts):
     path = P.path("word_bpe_49k.json")
     ref = Tokenizer.from_file(path)
