@@ -1,11 +1,13 @@
 """Shared plumbing: durable intermediate tables, graph components, text hashing.
 
-Everything here is bounded in memory by a batch, a tile or a fixed-size sketch;
-nothing is collected to the driver except sketches of a stated constant size.
+Everything here is bounded in memory by a batch, a tile or a sketch of a stated size;
+nothing is collected to the driver except sketches of a stated size. Keys that hold many
+rows are found on a sample and their rows dealt over salts, so that no task gets a key whole.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,26 +18,58 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
+_scratch: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only if unset."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only if unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what stands there is deleted when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back (survives lost executors)."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch", None)
+        if path in _scratch:
+            _delete(path, _scratch.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _scratch.items():
+        try:
+            if spark._jsc.sc().isStopped():
+                return
+            _delete(path, spark)
+        except Exception:  # the gateway may be gone; the folder's owner clears what is left
+            return
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,49 +81,80 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --------------------------------------------------------------------------- hot keys
+#: Keys are counted on the members whose hash is 0 modulo EVERY; LEAST of these make a key hot.
+EVERY, LEAST, PART = 64, 8, 512
+
+
+def hot_keys(rows: DataFrame, keys: list[str], member: str, every: int | None = None) -> DataFrame:
+    """(keys, parts): keys that seem to hold many members, and over how many salts to deal them.
+
+    Only the dealing depends on the sample; a key it misses is handled whole and gives the same rows.
+    """
+    every = every or EVERY
+    seen = rows.filter(F.pmod(F.xxhash64(F.lit("hot"), member), F.lit(every)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    return materialize(seen.filter(F.col("n") >= LEAST).select(*keys, (1 + F.floor(F.col("n") * every / PART)).cast("int").alias("parts")), "hot-keys")
+
+
+def salt_of(member: str, parts: str = "parts"):
+    return F.pmod(F.xxhash64(F.lit("salt"), member), F.col(parts)).cast("int")
+
+
+def every_salt(parts: str = "parts"):
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
 # --------------------------------------------------------------------------- bitmap prefilter
-BITMAP_BITS = 1 << 23
+#: Bits for each key, and most bits in all (32 MB); beyond that more keys pass, no result changes.
+BITS_A_KEY, MOST_BITS = 16, 1 << 28
 
 
 def key_bitmap(df: DataFrame, column: str):
-    """Broadcast bitmap (fixed 1 MB) of pmod(column, BITMAP_BITS).
+    """Broadcast bitmap of a column's hashes, sized by its row count.
 
     A prefilter for semi-joins inside Arrow scans: false positives pass and are
-    removed by the exact join that follows, so its fixed size never affects results.
+    removed by the exact join that follows, so its size never affects results.
     """
-    spark = df.sparkSession
-    slot = F.pmod(F.col(column), F.lit(BITMAP_BITS)).cast("int")
-    words = (
-        df.select(slot.alias("s"))
-        .select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1, s & 31)").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .collect()  # at most BITMAP_BITS / 32 rows
-    )
-    bits = np.zeros(BITMAP_BITS // 32, dtype=np.uint32)
-    for w, b in words:
-        bits[w] = b & 0xFFFFFFFF
-    return spark.sparkContext.broadcast(bits)
+    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_A_KEY * df.count()).bit_length()))
+    slices = max(1, size >> 22)
+    part = size // slices
+
+    def build(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(size - 1)
+            for k in np.unique(slot // np.uint64(part)).tolist():
+                bits = held.setdefault(k, np.zeros(part, dtype=bool))
+                bits[(slot[slot // np.uint64(part) == k] % np.uint64(part)).astype(np.int64)] = True
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size // 8, dtype=np.uint8)
+    found = df.select(F.col(column).cast("long")).repartition(min(slices * 4, 64)).mapInArrow(build, "slice int, bits binary")
+    for k, raw in found.toLocalIterator():  # pieces of at most 512 kB, ored one by one
+        out[k * part // 8 : (k + 1) * part // 8] |= np.frombuffer(raw, dtype=np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out)
 
 
 def in_bitmap(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = np.mod(ids.astype(np.int64), BITMAP_BITS)
-    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) != 0
+    slot = mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(8 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
 # --------------------------------------------------------------------------- components
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (id, component), component = smallest id.
 
-    Alternating large-star / small-star steps: each step moves O(edges) rows, hubs
-    are pre-aggregated before the join back, and every round is written out.
+    Alternating large-star / small-star steps: each step moves O(edges) rows and is written
+    out. Minima of neighbourhoods are aggregated map-side and written before they are joined
+    back, so that a hub's rows are met by a broadcast or split by the adaptive skew join.
     Ids without an edge have no row.
     """
     cur = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
 
-    def neighbourhood_min(sym: DataFrame) -> DataFrame:
-        low = sym.groupBy("u").agg(F.min("v").alias("m"))
-        return sym.join(low.withColumn("m", F.least("u", "m")), "u")
+    def neighbourhood_min(sym: DataFrame) -> tuple[DataFrame, DataFrame]:
+        low = materialize(sym.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        return sym.join(low.withColumn("m", F.least("u", "m")), "u"), low
 
     def state(df: DataFrame) -> tuple:
         return tuple(
@@ -101,16 +166,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(cur)
     while before[0]:
-        sym = cur.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        sym = sym.unionByName(sym.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = neighbourhood_min(sym).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = neighbourhood_min(down)
-        small = low.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
-        cur = materialize(small.filter("a <> b").distinct(), "edges")
+        sym = cur.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        near, low = neighbourhood_min(sym)
+        large = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        near, least = neighbourhood_min(down)
+        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        last, cur = cur, materialize(small.filter("a <> b").distinct(), "edges")
+        discard(last, low, down, least)
         after = state(cur)
         if after == before:
             break
@@ -124,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
 TILE, WEIGHT, SMALL = 1024, 1 << 19, 8
 
 
-def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, weight: int = WEIGHT, small: int = SMALL) -> DataFrame:
+def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, weight: int = WEIGHT, small: int = SMALL, every: int | None = None) -> DataFrame:
     """Which members must be compared with which: rows (ti, tj, tile, id).
 
     ``postings`` has (g, id, size, ...): id carries key g. One shuffle by g counts each
@@ -135,50 +198,63 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, w
     of label propagation find connected, so that most groups meet inside one tile. Each
     member goes to the tiles that its lists reach, so a list of m members in k tiles costs
     m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
+    The lists of hot keys are dealt over salts wherever rows meet by key.
     """
+    hot = hot_keys(postings, ["g"], "id", every)
+    dealt = postings.join(hot, "g", "left")
     w = Window.partitionBy("g")
     order = w.orderBy("id")
     row = F.struct(*[c for c in postings.columns if c != "g"])
     after = F.array_compact(F.array(*[F.lead(row, k).over(order) for k in range(1, small)]))
-    shared = postings.withColumns({"cnt": F.count("*").over(w), "after": after}).filter("cnt > 1")
+    shared = dealt.filter("parts is null").drop("parts").withColumns({"cnt": F.count("*").over(w), "after": after}).filter("cnt > 1")
 
     def partner(x):
         return (x["id"] > F.col("id")) & (near(row, x) if near else F.lit(True))
 
     found = F.transform(F.filter("after", partner), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size")))
-    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, found))
-    shared = materialize(shared.filter((F.col("cnt") > small) | (F.size("partners") > 0)).select("g", "id", "size", "cnt", "partners"), "postings")
-    pairs = shared.filter(F.col("cnt") <= small).select(F.col("id").alias("a"), F.col("size").alias("na"), F.explode("partners").alias("p"))
+    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, found)).withColumn("parts", F.lit(1))
+    shared = shared.filter((F.col("cnt") > small) | (F.size("partners") > 0)).select("g", "id", "size", "cnt", "partners", "parts")
+    known = dealt.filter("parts is not null").select("g", "id", "size", (F.col("parts") * F.lit(PART)).cast("long").alias("cnt"), F.lit(None).alias("partners"), "parts")
+    shared = materialize(shared.unionByName(known), "postings")
+    pairs = shared.filter("partners is not null").select(F.col("id").alias("a"), F.col("size").alias("na"), F.explode("partners").alias("p"))
     pairs = pairs.select("a", F.col("p.id").alias("b"), "na", F.col("p.size").alias("nb")).distinct()
     pairs = materialize(refine(pairs) if refine else pairs, "pairs")
-    hot = shared.filter(F.col("cnt") > small).select("g", "id", "size", "cnt")
+    lists = shared.filter("partners is null").select("g", "id", "size", "cnt", "parts")
     ends = F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("size")), F.struct(F.col("b").alias("id"), F.col("nb").alias("size")))
-    both = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(ends).alias("e"), F.lit(2).cast("long").alias("cnt"))
-    home = tile_homes(hot.unionByName(both.select("g", "e.id", "e.size", "cnt")), tile, weight)
+    both = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(ends).alias("e"), F.lit(2).cast("long").alias("cnt"), F.lit(1).alias("parts"))
+    home = tile_homes(lists.unionByName(both.select("g", "e.id", "e.size", "cnt", "parts")), tile, weight)
     both = pairs.join(home.select(F.col("id").alias("a"), F.col("tile").alias("ta")), "a").join(home.select(F.col("id").alias("b"), F.col("tile").alias("tb")), "b")
     member = F.array(F.struct(F.col("ta").alias("tile"), F.col("a").alias("id")), F.struct(F.col("tb").alias("tile"), F.col("b").alias("id")))
     single = both.select(F.least("ta", "tb").alias("ti"), F.greatest("ta", "tb").alias("tj"), F.explode(member).alias("e")).select("ti", "tj", "e.tile", "e.id")
-    spread = hot.select("g", "id").join(home, "id")
-    x, y = spread.alias("x"), spread.select("g", "tile").distinct().alias("y")
-    met = x.join(y, F.col("x.g") == F.col("y.g"))  # a member travels only to the tiles of its own lists
+    spread = lists.select("g", "id", "parts").join(home, "id")
+    x = spread.select("g", salt_of("id").alias("salt"), "id", "tile").alias("x")
+    y = spread.groupBy("g", "tile").agg(F.max("parts").alias("parts")).select("g", every_salt().alias("salt"), "tile").alias("y")
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")))  # a member travels only to the tiles of its own lists
     met = met.select(F.least("x.tile", "y.tile").alias("ti"), F.greatest("x.tile", "y.tile").alias("tj"), F.col("x.tile").alias("tile"), F.col("x.id").alias("id"))
-    return single.unionByName(met).distinct()
+    out = materialize(single.unionByName(met).distinct(), "tile-members")
+    discard(hot, shared, pairs, home)
+    return out
 
 
 def tile_homes(links: DataFrame, tile: int, weight: int) -> DataFrame:
-    """(id, tile) of the ids of (g, id, size, cnt); a key with more than a tile holds deals its ids by hash."""
+    """(id, tile) of the ids of (g, id, size, cnt, parts); a key with more than a tile holds deals its ids by hash."""
     home = materialize(links.groupBy("id").agg(F.max(F.struct("cnt", "g")).alias("sig"), F.max("size").alias("size")), "homes")
     label = home.select("id", F.col("sig").alias("label"))
+    links = links.select("g", "id", "parts")
     for _ in range(2):
-        top = links.select("g", "id").join(label, "id").groupBy("g").agg(F.max("label").alias("label"))
-        label = links.select("g", "id").join(top, "g").groupBy("id").agg(F.max("label").alias("label"))
-    home = materialize(home.join(label, "id").select("id", "size", F.col("sig.g").alias("sig"), F.col("label.g").alias("label")), "homes")
+        top = links.join(label, "id").groupBy("g").agg(F.max("label").alias("label"), F.max("parts").alias("parts"))
+        top = top.select("g", "label", every_salt().alias("salt"))
+        label = links.withColumn("salt", salt_of("id")).join(top, ["g", "salt"]).groupBy("id").agg(F.max("label").alias("label"))
+    first, home = home, materialize(home.join(label, "id").select("id", "size", F.col("sig.g").alias("sig"), F.col("label.g").alias("label")), "homes")
     load = F.greatest(F.col("size"), F.lit(-(-weight // tile)))
-    keys = home.groupBy("label", "sig").agg(F.sum(load).alias("load"))
-    before = F.sum("load").over(Window.partitionBy("label").orderBy("sig").rowsBetween(Window.unboundedPreceding, 0)) - F.col("load")
-    keys = keys.select("label", "sig", F.ceil(F.col("load") / weight).alias("parts"), F.floor(before / weight).alias("place"))
+    keys = materialize(home.groupBy("label", "sig").agg(F.sum(load).alias("load")), "loads")
+    whole = materialize(keys.groupBy("label").agg(F.sum("load").alias("whole")), "loads")
+    places = F.when(F.col("whole") <= weight, F.lit(1).cast("long")).otherwise(F.ceil(2 * F.col("whole") / weight))
+    keys_ = materialize(keys.join(whole, "label").select("label", "sig", F.ceil(F.col("load") / weight).alias("parts"), F.pmod(F.xxhash64("sig"), places).alias("place")), "places")
     part = F.when(F.col("parts") > 1, F.xxhash64("sig", F.pmod(F.xxhash64("id"), "parts"))).otherwise(F.col("place"))
-    return materialize(home.join(keys, ["label", "sig"]).select("id", F.xxhash64("label", part).alias("tile")), "tiles")
+    out = materialize(home.join(keys_, ["label", "sig"]).select("id", F.xxhash64("label", part).alias("tile")), "tiles")
+    discard(first, home, keys, whole, keys_)
+    return out
 
 
 def sorted_groups(batches, keys: list[str]):

@@ -1,15 +1,18 @@
 """N-gram Jaccard self-join of documents (operator 3).
 
-Rare-first prefix filtering: shingles are ordered by a corpus-wide document-frequency
-sketch (fixed size, counted over every document), a document indexes only the first
-n - ceil(t n) + 1 of them, and documents sharing an indexed shingle are candidates.
+Rare-first prefix filtering: shingles are ordered by document frequency, a document indexes
+only the first n - ceil(t n) + 1 of them, and documents sharing an indexed shingle are
+candidates. Frequencies are counted over every document: a sketch of fixed size bounds each
+shingle's from above, and those whose bound reaches a 2^18th of all shingles are then counted
+exactly, so at most 2^18 heavy shingles are broadcast. Light shingles come first, by their
+bound, then the heavy ones by exact frequency, ties by hash.
 Length, positional and suffix filters prune candidate pairs before any set is fetched;
-each surviving pair is verified once on the exact sets.
+each surviving pair is verified once on the exact sets (64-bit shingle hashes).
 
 Cases: null or blank text has an empty set and links with nothing; fewer than k words
 give one shingle; equal sets are one class before the join, so copies never multiply;
-rows repeating a doc_id are one node; a null doc_id links with nothing (null component);
-an empty table gives an empty result; extra columns are ignored.
+rows repeating a doc_id are one node with the links of all their texts; a null doc_id links
+with nothing (null component); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,32 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_bitmap, key_bitmap, materialize, mix, roots, shingle_sets, small_batches, sorted_groups, tile_groups
+from .common import components, discard, in_bitmap, key_bitmap, materialize, mix, roots, shingle_sets, small_batches, sorted_groups, tile_groups
 
 SKETCH_BITS, SLICES = 20, 16
+#: At most 2^HEAVY_BITS shingles have a 2^HEAVY_BITS-th of all occurrences.
+HEAVY_BITS = 18
 PARITY_BITS = 512
 #: Sets above this size also carry their hash partitions' counts (mod 256), one byte each.
 LONG = 1024
 
 
-#: Bytes of a shingle hash that travel to be verified: within one pair 48 bits tell shingles apart.
-WIDTH = 6
-
-
-def narrow(grams: np.ndarray) -> bytes:
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-
-
-def widen(raw) -> np.ndarray:
-    part = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDTH)
-    full = np.zeros((len(part), 8), dtype=np.uint8)
-    full[:, :WIDTH] = part
-    return full.view("<u8").ravel()
-
-
-def frequency_sketch(docs: DataFrame, k: int):
-    """Broadcast document frequencies of shingles, by hash slot (2^20 counters, 4 MB)."""
-    spark, size = docs.sparkSession, 1 << SKETCH_BITS
+def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """Document frequencies of shingles, by hash slot (2^20 counters, 4 MB)."""
+    size = 1 << SKETCH_BITS
     part = size // SLICES
 
     def count(batches):
@@ -81,28 +71,59 @@ def frequency_sketch(docs: DataFrame, k: int):
     out = np.zeros(size, dtype=np.uint32)
     for i, raw in rows:
         out[i * part : (i + 1) * part] = np.minimum(np.frombuffer(raw, dtype=np.uint64), 2**32 - 1)
-    return spark.sparkContext.broadcast(out)
+    return out
+
+
+def heavy_shingles(docs: DataFrame, k: int, sketch, least: int):
+    """(sorted hashes, frequencies) of the shingles in at least ``least`` documents, exact."""
+
+    def run(batches):
+        freq, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
+        for batch in batches:
+            held = [s[freq[s & mask] >= least] for s in shingle_sets(batch.column(0), k)]
+            if held:
+                found, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    found = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    got = found.toPandas()  # at most 2^HEAVY_BITS rows
+    keys = got["s"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got["n"].to_numpy(dtype=np.int64)[order]
+
+
+def rare_first(s: np.ndarray, freq: np.ndarray, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Order of a set's shingles: light ones by their bound, heavy ones by frequency, ties by hash."""
+    rank = freq[s & np.uint64(len(freq) - 1)].astype(np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        hit = keys[at] == s
+        rank[hit] = times[at[hit]] + (1 << 40)
+    return np.lexsort((s, rank))
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, parity, counts, prefix) of each row."""
-    sketch = frequency_sketch(docs, k)
+    held = docs.sparkSession.sparkContext.broadcast
+    counts = frequency_sketch(docs, k)
+    sketch = held(counts)
+    heavy = held(heavy_shingles(docs, k, sketch, max(2, -(-int(counts.sum(dtype=np.uint64)) >> HEAVY_BITS))))
 
     def run(batches):
-        freq, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
+        freq, (keys, times) = sketch.value, heavy.value
         for batch in batches:
             n, f1, f2, parity, counts, prefix, at = [], [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), k):
                 m = len(s)
                 n.append(m)
-                f1.append(int(mix(s).sum(dtype=np.uint64)))
-                f2.append(int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
+                x, y = digests(s)
+                f1.append(x)
+                f2.append(y)
                 count = np.bincount((s >> np.uint64(40)) & np.uint64(PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8)
                 parity.append(np.packbits(count & 1).view(np.int64))
                 counts.append(count.tobytes() if m > LONG else b"")
                 p = m - -(-num * m // den) + 1 if m else 0
-                order = np.lexsort((s, freq[s & mask]))[:p]
-                prefix.append(s[order].view(np.int64))
+                prefix.append(s[rare_first(s, freq, keys, times)[:p]].view(np.int64))
                 at.append(at[-1] + p)
             rows = batch.num_rows
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
@@ -111,7 +132,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n, pa.int64()),
-                    pa.array(np.array(f1, dtype=np.uint64).view(np.int64)), pa.array(np.array(f2, dtype=np.uint64).view(np.int64)),
+                    signed(f1), signed(f2),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, rows * words + 1, words), pa.int32()), pa.array(bits)),
                     pa.array(counts, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
@@ -195,7 +216,7 @@ def verify(groups: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for (ti, tj), t in sorted_groups(batches, ["ti", "tj"]):
             ids, tile = t["id"].to_numpy(), t["tile"].to_numpy()
-            sets = [widen(x.as_buffer()) for x in t["grams"]]
+            sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in t["grams"]]
             n = np.array([len(s) for s in sets])
             order = np.argsort(ids)
             own = [i for i in order if tile[i] == ti]
@@ -221,23 +242,36 @@ def verify(groups: DataFrame, num: int, den: int) -> DataFrame:
     return groups.repartition("ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(run, "a long, b long")
 
 
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent sums over a set: its 128-bit fingerprint."""
+    return int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
+
+
+def signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
 def fetch_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(id, grams) of the needed documents; a fixed-size bitmap keeps the rest out of the shuffle."""
-    bitmap = key_bitmap(needed, "id")
+    """(id, grams) of the needed classes (id, doc, f1, f2, size), read again from a text of each.
+
+    A bitmap of the chosen rows' doc_ids keeps the other texts from being cut into shingles.
+    """
+    bitmap = key_bitmap(needed, "doc")
 
     def run(batches):
         for batch in batches:
             keep = in_bitmap(bitmap.value, batch.column(0).to_numpy(zero_copy_only=False))
-            if keep.any():
-                batch = batch.filter(pa.array(keep))
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([narrow(s) for s in shingle_sets(part.column(1), k)], pa.binary())], ["id", "grams"]
-                    )
+            batch = batch.filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, 256):
+                sets = list(shingle_sets(batch.slice(lo, 256).column(1), k))
+                f1, f2 = zip(*map(digests, sets))
+                yield pa.RecordBatch.from_arrays(
+                    [signed(f1), signed(f2), pa.array(map(len, sets), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["f1", "f2", "size", "grams"]
+                )
 
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return ids.mapInArrow(run, "id long, grams binary")
+    found = ids.mapInArrow(run, "f1 long, f2 long, size long, grams binary")
+    return found.join(needed.select("id", "f1", "f2", "size"), ["f1", "f2", "size"]).groupBy("id").agg(F.first("grams").alias("grams"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -245,10 +279,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     small_batches(docs.sparkSession)
     info = materialize(describe(docs, k, num, den), "shingles")
     full = info.filter("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("f1", "f2", "n_shingles").agg(
-        F.min(F.struct("doc_id", "parity", "counts", "prefix")).alias("r")
-    ).select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("size"), "f1", "f2", "r.parity", "r.counts", "r.prefix")
-    reps = materialize(reps, "classes")
+    reps = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "parity", "counts", "prefix")).alias("r"))
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("size"), "f1", "f2", "r.parity", "r.counts", "r.prefix")
+    reps = materialize(reps, "classes")  # ids are fixed by being written
     postings = reps.select("id", "size", F.posexplode("prefix").alias("pos", "g"))
 
     def near(a, b):
@@ -265,18 +298,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return pairs.filter(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b", "na", "nb")
 
     marks = reps.select("id", "size", "parity", "counts")
-    groups = materialize(screen(tile_groups(postings, near, suffix).join(marks, "id").select("ti", "tj", "tile", "id", "size", "parity", "counts"), num, den), "groups")
-    grams = fetch_sets(docs, groups.select("id").distinct(), k)
-    # rows repeating a doc_id may differ in text: take the set of the class that was indexed
-    keyed = reps.select("id", "size")
-    grams = grams.join(keyed, "id").filter(F.octet_length("grams") == WIDTH * F.col("size")).groupBy("id").agg(F.min("grams").alias("grams"))
-    links = verify(groups.join(grams, "id"), num, den)
-    copies = full.join(reps.select("f1", "f2", F.col("size").alias("n_shingles"), F.col("id").alias("b")), ["f1", "f2", "n_shingles"])
-    edges = links.unionByName(copies.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
-    found = components(edges)
-    return info.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    tiles = tile_groups(postings, near, suffix)
+    groups = materialize(screen(tiles.join(marks, "id").select("ti", "tj", "tile", "id", "size", "parity", "counts"), num, den), "groups")
+    needed = materialize(groups.select("id").distinct().join(reps.select("id", "doc", "f1", "f2", "size"), "id"), "needed")
+    links = materialize(verify(groups.join(fetch_sets(docs, needed, k), "id"), num, den), "links")
+    member = full.select("doc_id", "f1", "f2", "n_shingles").join(reps.select("f1", "f2", F.col("size").alias("n_shingles"), "id"), ["f1", "f2", "n_shingles"])
+    member = materialize(member.select("doc_id", "id"), "members")
+    several = materialize(member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("doc_id", "a"), "repeated")
+    repeated = member.join(several, "doc_id").select("a", F.col("id").alias("b"))
+    label = materialize(components(links.unionByName(repeated)), "labels")
+    linked = reps.select("id", "doc").join(label, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
+    least = materialize(linked.groupBy("component").agg(F.min("doc").alias("least")), "smallest")
+    linked = materialize(linked.join(least, "component").select("id", "least"), "linked")
+    own = member.join(linked, "id").groupBy("doc_id").agg(F.min("least").alias("least"))
+    out = info.select("doc_id", "n_shingles").join(own.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    discard(tiles, groups, needed, links, several, label, least)
+    return out
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Document fingerprints by SimHash, DataFrame functions only (operator 4, native).
 
-Terms are the white-space separated words of the lowered text; a word of more than three
-letters votes on each of 64 bits with weight min(length - 3, 7), shorter words (the
-function words of most languages) don't vote. Four bit counters share one long, so the
-votes of a run of 4,096 words are sixteen sums over a code-generated aggregate; runs are
+Terms are the white-space separated words of the lowered text; a word votes on each of 64
+bits (of its 64-bit hash) with weight min(length - 2, 7), at least 1, so that short words,
+the function words of most languages, count little. Four bit counters share one long, so
+the votes of a run of 4,096 words are sixteen sums over a code-generated aggregate; runs are
 added up per document. No text is ever collected: fingerprints are partial sums.
 
+Permuted block tables then count, for each fingerprint, the other documents whose
+fingerprint lies within the Hamming radius (``near_counts``).
+
 The next document in ascending doc_id is found inside ranges of doc_id dealt out by
 quantiles; the first row of each range is also sent to the range before it, so one
 shuffle of the text serves the whole table and no range depends on the others.
 
-Cases: null text counts as empty (fingerprint 0, no votes); equal rows are computed once
+Cases: null text counts as empty (no votes: fingerprint of zeros); equal rows are computed once
 and returned as often as they occur; rows sharing a doc_id are ordered by a text hash;
 null ids come first; a single document is its own next; an empty table gives an empty
 result; other columns are ignored.
@@ -23,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, every_salt, hot_keys, materialize, salt_of
 
 RUN_WORDS, TOP_WEIGHT = 4096, 7  # RUN_WORDS * TOP_WEIGHT < 2^15: a counter's field can't overflow
 SPREAD, FIELDS = (1 | 1 << 15 | 1 << 30 | 1 << 45), (1 | 1 << 16 | 1 << 32 | 1 << 48)
@@ -36,7 +39,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     words = texts.select(*keys, F.posexplode_outer(F.split(flat, " ")).alias("__pos", "__word"))
     words = words.select(
         *keys, F.floor(F.coalesce("__pos", F.lit(0)) / RUN_WORDS).cast("int").alias("__run"),
-        F.greatest(F.lit(0), F.least(F.lit(TOP_WEIGHT), F.char_length(F.coalesce("__word", F.lit(""))) - 3)).cast("long").alias("__w"),
+        F.when(F.coalesce("__word", F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(TOP_WEIGHT), F.char_length("__word") - 2))).cast("long").alias("__w"),
         F.xxhash64("__word").alias("__h"),
     )
     votes = [
@@ -109,7 +112,9 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """Fingerprints (16 hex digits) of each text and its edited text, their likeness, the likeness to
+    the next document's, and n_near, the number of other rows whose fingerprint lies within ``radius`` bits."""
     spark = docs.sparkSession
     ranges = min(100_000, max(16, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows, times = with_next(docs, ranges)
@@ -131,30 +136,70 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     got = got.join(other, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_h") == F.col("o_h")))
     got = got.join(times, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh")), "left")
     one = F.lit(1).cast("long")
-    got = got.withColumn("again", F.explode(F.sequence(one, F.coalesce("times", one))))
+    got = materialize(got.withColumn("times", F.coalesce("times", one)), "fingerprints")
+    prints = got.groupBy("fingerprint").agg(F.sum("times").alias("times"))
+    near = near_counts(prints, radius, blocks).withColumnRenamed("fingerprint", "print")
+    got = got.join(near, F.col("fingerprint") == F.col("print"), "left")
+    got = got.withColumn("again", F.explode(F.sequence(one, "times")))
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
     return got.select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"),
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 
-def radius_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs a < b of distinct fingerprints at Hamming distance <= radius (a, b, distance).
+def block_tables(radius: int, blocks: int) -> list[tuple[int, list[int]]]:
+    """(mask of the key's bits, masks that must differ) of each table.
 
-    Permuted block tables: ``radius`` differing bits leave at least blocks - radius blocks
-    untouched, so one table per choice of that many blocks finds every such pair; the key
-    of a table is those blocks' bits. ``prints`` has (fingerprint); copies count once.
+    ``radius`` differing bits leave at least blocks - radius blocks untouched, so one table for
+    each choice of that many blocks finds every pair. A pair counts in the table of its first
+    untouched blocks alone: in any other, some block before the last chosen is untouched too.
     """
     size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    start = [sum(size[:i]) for i in range(blocks)]
-    masks = []
+    bits = [((1 << size[i]) - 1) << sum(size[:i]) for i in range(blocks)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    out = []
     for chosen in combinations(range(blocks), blocks - radius):
-        m = sum(((1 << size[i]) - 1) << start[i] for i in chosen)
-        masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-    rows = prints.select("fingerprint").filter("fingerprint is not null").distinct().select(
-        "fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "key")
-    )
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
-    apart = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint")))
-    return pairs.filter(apart <= radius).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), apart.alias("distance")).distinct()
+        touched = [signed(bits[i]) for i in range(max(chosen)) if i not in chosen]
+        out.append((signed(sum(bits[i] for i in chosen)), touched + [-1] * (radius - len(touched))))
+    return out
+
+
+def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 6, every: int | None = None) -> DataFrame:
+    """(fingerprint, n_near) of (fingerprint, times): rows with a fingerprint within ``radius``, itself not counted.
+
+    Fingerprints that agree in a table's blocks share a bucket. Buckets are compared as arrays
+    of about PART members: a bucket that holds many is dealt into several, each array is
+    compared with each of its bucket, so rows grow with arrays, not with pairs.
+    """
+    prints = materialize(prints.filter("fingerprint is not null"), "prints")
+    tables = block_tables(radius, blocks)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, (m, _) in enumerate(tables)])
+    rows = prints.select("fingerprint", "times", F.explode(keys).alias("e")).select("e.t", "e.key", "fingerprint", "times")
+    hot = hot_keys(rows, ["t", "key"], "fingerprint", every)
+    dealt = rows.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    member = F.struct("fingerprint", "times")
+    groups = dealt.groupBy("t", "key", "parts", salt_of("fingerprint").alias("salt")).agg(F.collect_list(member).alias("held"))
+    groups = materialize(groups.filter((F.size("held") > 1) | (F.col("parts") > 1)), "buckets")  # PART members or so in each
+    sent = groups.select("t", "key", "salt", "parts", "held").withColumn("to", every_salt())
+    other = groups.select(F.col("t").alias("ot"), F.col("key").alias("okey"), F.col("salt").alias("osalt"), F.col("held").alias("others"))
+    met = sent.join(other, (F.col("t") == F.col("ot")) & (F.col("key") == F.col("okey")) & (F.col("to") == F.col("osalt")))
+    apart = [F.element_at(F.array(*[F.lit(x[k]).cast("long") for _, x in tables]), F.col("t") + 1).alias(f"m{k}") for k in range(radius)]
+    met = met.select("held", "others", *apart)
+
+    def count(a):
+        def near(b):
+            x = a["fingerprint"].bitwiseXOR(b["fingerprint"])
+            ok = (F.bit_count(x) <= radius) & (x != 0)
+            for k in range(radius):
+                ok = ok & (x.bitwiseAND(F.col(f"m{k}")) != 0)
+            return F.when(ok, b["times"]).otherwise(F.lit(0).cast("long"))
+
+        return F.struct(a["fingerprint"].alias("fingerprint"), F.aggregate("others", F.lit(0).cast("long"), lambda s, b: s + near(b)).alias("n"))
+
+    found = met.select(F.explode(F.transform("held", count)).alias("e")).filter("e.n > 0").groupBy("e.fingerprint").agg(F.sum("e.n").alias("n"))
+    out = prints.join(found, "fingerprint", "left").select("fingerprint", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"))
+    out = materialize(out.filter("n_near > 0"), "near-counts")
+    discard(prints, hot, groups)
+    return out

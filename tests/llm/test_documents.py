@@ -84,6 +84,33 @@ def test_jaccard_edges(spark):
     assert [r["component_id"] for r in got if r[0] is None] == [None]
 
 
+def test_jaccard_repeated_ids_and_hot_keys(spark, monkeypatch):
+    """A doc_id with two texts has the links of both; hot keys dealt over salts give the same rows."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, b), (5, a + " i"), (6, b + " x"), (7, "nothing of all that is said here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in N.jaccard_components(df, 3, 80, 100).select("doc_id", "component_id").collect()} == {(1, 1), (5, 1), (6, 1), (7, 7)}
+    monkeypatch.setattr("skuscope.llm.common.EVERY", 1)
+    monkeypatch.setattr("skuscope.llm.common.PART", 16)
+    docs = list(enumerate(near_copies(150, 90, 6, 2) + near_copies(40, 30, 2, 3) + ["the same text here again"] * 30 + ["word " * 5000 + f"end{i}" for i in range(3)]))
+    got = {r[0]: (r[1], r[2]) for r in N.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute_jaccard(docs, 3, 90, 100)
+
+
+def test_heavy_shingles_are_exact(spark, monkeypatch):
+    docs = [r[0] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    monkeypatch.setattr(N, "SKETCH_BITS", 12)
+    df = spark.createDataFrame([(t,) for t in docs], "text string")
+    import pyarrow as pa
+
+    sketch = N.frequency_sketch(df, 3)
+    keys, times = N.heavy_shingles(df, 3, spark.sparkContext.broadcast(sketch), 5)
+    every, n = np.unique(np.concatenate(list(N.shingle_sets(pa.array(docs), 3))), return_counts=True)
+    assert (keys == every[n >= 5]).all() and (times == n[n >= 5]).all()
+    order = N.rare_first(every, sketch, keys, times)
+    assert (np.diff(n[order][-len(keys) :]) >= 0).all() and n[order][: -len(keys)].max() < 5
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
@@ -122,24 +149,48 @@ def test_chat_layouts_and_escapes(spark):
     assert H.digests(H.read_back(H.format_turns(H.canonical_turns(rows.limit(0))))).count() == 0
 
 
+def xxhash64(raw, seed=42):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def brute_simhash(text):
+    """Weighted votes of the words on each bit, one by one."""
+    votes = [0] * 64
+    for w in re.split("[ \n\t]", text.lower()):
+        if w:
+            h, weight = xxhash64(w.encode()), max(1, min(7, len(w) - 2))
+            for b in range(64):
+                votes[b] += weight if h >> b & 1 else -weight
+    return f"{sum(1 << b for b in range(64) if votes[b] > 0):016x}"
+
+
 def test_simhash(spark):
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    docs += [(9000, None), (9001, ""), (9002, "tiny"), (9003, "word " * 9000), (9004, "word " * 9000)]
+    docs += [(9000, None), (9001, ""), (9002, "tiny"), (9003, "word " * 9000), (9004, "word " * 9000), (9005, "the cat sat on a mat"), (9006, "to be or not to be"), (9007, "the cat sat on a mat")]
     docs.sort()
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in docs], "doc_id long, text string, h string, n_chars int")
-    got = {r["doc_id"]: r for r in M.fingerprint_documents(df).collect()}
+    out = M.fingerprint_documents(df)
+    assert dict(out.dtypes) == {
+        "doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
+        "near_edited": "double", "near_next": "double", "n_near": "bigint",
+    }
+    got = {r["doc_id"]: r for r in out.collect()}
     assert len(got) == len(docs)
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
     for k, (i, t) in enumerate(docs):
         t, nxt = t or "", docs[(k + 1) % len(docs)][1] or ""
-        m = len(t) // 4
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
         r = got[i]
         assert r["n_chars"] == len(t)
-        assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()
-        far = bin((r["fingerprint"] ^ got[docs[(k + 1) % len(docs)][0]]["fingerprint"]) & (2**64 - 1)).count("1")
-        assert r["near_next"] == 1 - far / 64
-    same = {}
-    for i, t in docs:
-        assert same.setdefault(t or "", got[i]["fingerprint"]) == got[i]["fingerprint"]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        if len(t) < 60_000:
+            assert r["fingerprint"] == brute_simhash(t) and r["edited_fingerprint"] == brute_simhash(edited)
+        assert r["near_next"] == 1 - apart(r["fingerprint"], got[docs[(k + 1) % len(docs)][0]]["fingerprint"]) / 64
+        assert r["near_edited"] == 1 - apart(r["fingerprint"], r["edited_fingerprint"]) / 64
+        assert r["n_near"] == sum(apart(r["fingerprint"], x["fingerprint"]) <= 3 for j, x in got.items() if j != i)
+    assert len({got[i]["fingerprint"] for i in (9001, 9005, 9006)}) == 3 and got[9005]["fingerprint"] == got[9007]["fingerprint"]
     rows = [got[i] for i, t in docs if t and 1000 < len(t) < 40_000]
     assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows]) + 0.15
 
@@ -148,17 +199,23 @@ def test_simhash_edges(spark):
     kind = "doc_id long, text string"
     assert M.fingerprint_documents(spark.createDataFrame([], kind)).count() == 0
     got = M.fingerprint_documents(spark.createDataFrame([(1, "alpha beta gamma")] * 2 + [(None, "delta")], kind)).collect()
-    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1]
+    assert sorted(((r["doc_id"] or 0), r["n_near"]) for r in got) == [(0, 0), (1, 1), (1, 1)]
 
 
-def test_block_tables_find_every_pair(spark):
+@pytest.mark.parametrize("every,part", [(None, 512), (1, 8)])
+def test_block_tables_find_every_near_fingerprint(spark, monkeypatch, every, part):
+    """Against all pairs; the second time every bucket of eight is hot and dealt over salts."""
+    monkeypatch.setattr("skuscope.llm.common.PART", part)
     rng = random.Random(4)
     prints = [rng.getrandbits(64) for _ in range(60)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for p in prints for _ in range(3)]
+    prints += [prints[0] ^ (1 << b) ^ (1 << c) for b in range(16) for c in range(b)]
     signed = sorted({p - (1 << 64) if p >= 1 << 63 else p for p in prints})
-    got = {(r["a"], r["b"], r["distance"]) for r in M.radius_pairs(spark.createDataFrame([(p,) for p in [*signed, *signed]], "fingerprint long")).collect()}
-    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
-    assert got == {(a, b, far(a, b)) for a, b in itertools.combinations(signed, 2) if far(a, b) <= 3}
+    rows = spark.createDataFrame([(p, 1 + i % 3) for i, p in enumerate(signed)], "fingerprint long, times long")
+    got = {r[0]: r[1] for r in M.near_counts(rows, every=every).collect()}
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    for i, a in enumerate(signed):
+        assert got.get(a, 0) == i % 3 + sum(1 + j % 3 for j, b in enumerate(signed) if j != i and far(a, b) <= 3)
 
 
 def test_language_id(spark):
@@ -195,7 +252,50 @@ def test_forward_sums_all_segmentations():
     got = lat.score(words, prob)
     assert np.allclose(got, np.log([[brute(w, k) for k in range(2)] for w in words]))
     m = G.Model(["x", "y"], prob, pieces)
-    assert m.predict([None, "12 !", "ab", "a" * 1000])[0] == ("und", 0.0)
+    got = m.predict([None, "12 !", "½ ² ③ Ⅷ", "ab", "a" * 1000, "ab½ab"])
+    assert [g[0] == "und" for g in got] == [True, True, True, False, False, False] and got[0] == ("und", 0.0)
+    assert G.words_of("ab½Ab c_d") == ["ab", "ab", "c", "d"]
+
+
+def test_expected_counts_equal_all_segmentations():
+    pieces = ["a", "ab", "b", "ba", "aba", " a", " abab"]
+    lat = G.Lattice(pieces)
+    prob = np.append(np.random.default_rng(1).random(len(pieces)) / 10, 0.0)
+    words = sorted([" abab", "abab", " ab", "baa", "ax"], key=lambda w: -len(w))
+    weight = np.arange(1.0, 6.0)
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in pieces or n == 1:
+                for rest in cuts(w[n:]):
+                    yield [w[:n], *rest]
+
+    want = np.zeros(len(pieces))
+    p = lambda x: max(prob[pieces.index(x)], G.FLOOR) if x in pieces and len(x) == 1 else prob[pieces.index(x)] if x in pieces else G.FLOOR
+    for w, k in zip(words, weight):
+        every = [(c, np.prod([p(x) for x in c])) for c in cuts(w)]
+        whole = sum(x for _, x in every)
+        for c, x in every:
+            for piece in c:
+                if piece in pieces:
+                    want[pieces.index(piece)] += k * x / whole
+    assert np.allclose(G.expected_counts(lat, words, weight, prob)[:-1], want)
+
+
+def test_language_id_edges(spark):
+    kind = "doc_id long, text string, lang string, score int, lang_pred int, source string"
+    rows = [(i, "the cat and the dog of the house" if i % 2 else "le chat et le chien de la maison", "en" if i % 2 else "fr", i, i, "s") for i in range(40)]
+    rows += [(100, None, "en", 1, 1, "s"), (101, "½ 12 ²", "en", 1, 1, "s"), (101, "", None, 1, 1, None), (None, "the dog and the cat", None, 1, 1, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = G.predict(df, G.trained_on(df))
+    assert got.columns == ["doc_id", "text", "lang", "source", "lang_pred", "score"]
+    assert all(r["lang_pred"] == (r["lang"] if r["doc_id"] < 100 else "und") for r in got.collect() if r["doc_id"] is not None)
+    kept = G.keep_identified(spark, df, SF)
+    assert kept.columns == df.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, *range(40)]
+    assert [r["lang_pred"] for r in G.predict(df, G.trained_on(df.limit(0))).collect()] == ["und"] * len(rows)
+    assert G.keep_identified(spark, df.limit(0), SF).count() == 0
 
 
 def test_lines(spark):
@@ -222,9 +322,9 @@ def test_lines_equal_brute_force(spark):
     occ = []
     for i, t in docs:
         data, offsets = L.text_buffers(pa.array([t]))
-        for _, line, h, sim, words in zip(*L.describe_lines(data, offsets)):
+        for _, line, h, h2, sim, words in zip(*L.describe_lines(data, offsets)):
             if words >= 3:
-                occ.append((i, int(line), L.normalise(t.split("\n")[int(line)]), int(sim), int(h)))
+                occ.append((i, int(line), L.normalise(t.split("\n")[int(line)]), int(sim), (int(h), int(h2))))
     by = {}
     for o in occ:
         by.setdefault(o[2], []).append(o)
@@ -287,6 +387,68 @@ def test_embeddings(spark):
     assert E.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [16, 64, 384, 768])
+def test_tables_find_partners_just_above_the_threshold(width):
+    """Recall at cosine 0.95 and 0.96, for a table of a million rows, of vectors in clusters and with decaying spectrum."""
+    rng = np.random.default_rng(width)
+    x = rng.standard_normal((50, width))[rng.integers(0, 50, 3000)] + rng.standard_normal((3000, width))
+    x *= 1 / np.sqrt(1 + np.arange(width)) if width == 384 else 1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tables = E.Tables(x[:2000], 1_000_000, 0.95)
+    for cosine in (0.95, 0.96):
+        move = rng.standard_normal((1000, width))
+        move -= (move * x[2000:]).sum(axis=1)[:, None] * x[2000:]
+        y = cosine * x[2000:] + np.sqrt(1 - cosine**2) * move / np.linalg.norm(move, axis=1)[:, None]
+        assert (tables.keys(x[2000:]) == tables.keys(y)).any(axis=1).mean() >= 0.9
+
+
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    """Planted partners at cosines from 0.95 to 0.97 and a few from below, in fitted lengths and a rare one; a repeated vec_id."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr("skuscope.llm.common.EVERY", 1)
+    rows, at = [], 0
+    for width, n in ((64, 700), (24, 600), (16, 40)):
+        x = rng.standard_normal((n, width))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        move = rng.standard_normal((n, width))
+        move -= (move * x).sum(axis=1)[:, None] * x
+        move /= np.linalg.norm(move, axis=1)[:, None]
+        c = rng.uniform(0.945, 0.97, n)[:, None]
+        for v in np.concatenate([x, c * x + np.sqrt(1 - c * c) * move]):
+            rows.append((at, v.tolist()))
+            at += 1
+    rows += [(at, rows[0][1]), (at, rows[5][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, component string")
+    got = {r["vec_id"]: r for r in E.near_vectors(df).collect()}
+    want, links = {}, []
+    for width in (64, 24, 16):
+        part = [(i, np.array(v)) for i, v in rows if len(v) == width]
+        y = np.array([v / np.linalg.norm(v) for _, v in part])
+        hit = y @ y.T >= 0.95
+        np.fill_diagonal(hit, False)
+        for k, (i, _) in enumerate(part):
+            want[i] = max(want.get(i, 0), int(hit[k].sum()))
+        links += [(part[p][0], part[q][0]) for p, q in np.argwhere(hit)]
+    comp = rooted(want, links)
+    assert got[at]["component_id"] == 0 and got[5]["component_id"] == 0
+    assert all(got[i]["n_links"] <= want[i] for i in want) and sum(r["n_links"] for r in got.values()) >= 0.95 * sum(want.values())
+    assert all(got[i]["n_links"] == want[i] for i, v in rows if len(v) == 16)
+    assert np.mean([got[i]["component_id"] == comp[i] for i in want]) > 0.95
+
+
+def test_lines_edges(spark):
+    """Clashing names, repeated ids, a very long line, an empty table."""
+    long = " ".join(f"token{i}" for i in range(30_000))
+    rows = [(1, f"one line of words\n{long}", 1, 2, 3), (1, f"one line of words\n{long}", 1, 2, 3), (2, long, 4, 5, 6), (3, None, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed int, __gone int")
+    got = L.remove_lines(df, L.duplicate_lines(df))
+    assert got.columns == ["doc_id", "text", "__gone", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] < 3) == [(1, rows[0][1])] * 2 + [(2, "")]
+    kept = L.drop_lines(spark, df, SF)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3]
+    assert L.drop_lines(spark, df.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
