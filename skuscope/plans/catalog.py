@@ -434,33 +434,133 @@ def tfidf_weights(m):
     return matching.tfidf(m.table("benchmark"), "item_id", "text").select(F.col("item_id").alias("id"), "gram", r("weight", 8))
 
 
-@query(TFIDF_SQL + " SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS cosine FROM v a JOIN v b USING (gram) WHERE b.id = a.id + 1 GROUP BY 1, 2")
+@query(TFIDF_SQL + """, b AS (SELECT * FROM benchmark), s AS (SELECT a.item_id AS a, c.item_id AS b FROM b a JOIN b c ON a.item_id % 100 = 0 AND c.item_id <> a.item_id)
+SELECT s.a, s.b, round_even(sum(coalesce(x.weight * y.weight, 0)) * 1e6, 0) / 1e6 AS cosine FROM s JOIN v x ON x.id = s.a LEFT JOIN v y ON y.id = s.b AND y.gram = x.gram GROUP BY 1, 2""")
 def tfidf_cosine_pairs(m):
-    b = m.table("benchmark")
-    pairs = b.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b")).join(b.select(F.col("item_id").alias("b")), "b", "left_semi")  # neighbours
-    return matching.pair_cosine(pairs, matching.tfidf(b, "item_id", "text"), "a", "b", "item_id").filter("semantic > 0").select("a", "b", r("semantic", 6, "cosine"))
-
-
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-def embedding_cosine(m):
-    e = m.table("embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", (F.floor(matching.array_cosine(F.col("x"), F.col("y")) * 1e6 + 0.37) / 1e6).alias("cosine"))
-
-
-def _parsed(m):
-    df = m.offers().selectExpr("country_code", "shop_id", "item_id", "concat(product_name, ' ', cast(size as int) * 10, 'g serum banh quy') as product_name", "brand", "seller_entity_id", "list_price as price")
-    return parse.with_attributes(df).withColumn("catid", F.xxhash64("product_name"))
-
-
-@query()
+    """Every hundredth item against all items."""
+    b = m.table("benchmark").select("item_id", "text")
+    held = matching.vectors(matching.tfidf(b, "item_id", "text"), "item_id")
+    return matching.query_cosines(held.filter("item_id % 100 = 0"), held, "item_id").select("a", "b", (F.bround(F.col("semantic") * 1e6) / 1e6).alias("cosine"))
+
+
+@query("""SELECT a, b, rank, cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1e6, 0) / 1e6 AS cosine,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1e6, 0) DESC, b.vec_id) AS rank
+ FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) WHERE rank <= 10""")
+def embedding_cosine_topk(m):
+    """The ten nearest of all vectors to every hundredth vector."""
+    e = m.table("embeddings").select("vec_id", "embedding")
+    return matching.nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10).select("a", "b", n("rank"), (F.col("micro") / 1e6).alias("cosine"))
+
+
+#: Listings with real titles: types, variants, families, sizes and packs by the part's number.
+LISTING_SQL = r"""WITH raw AS (
+ SELECT p_partkey AS item_id, p_partkey % 10 AS k, p_partkey % 4 AS m, p_name, p_size AS size, p_retailprice AS price, CASE WHEN p_partkey % 2 = 0 THEN 'vn' ELSE 'id' END AS country_code,
+  CAST(regexp_extract(p_brand, '#(\d+)', 1) AS BIGINT) AS shop_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE lower(replace(p_brand, '#', ' ')) END AS brand_clean,
+  CASE WHEN p_partkey % 13 <> 0 THEN p_size % 8 END AS catid, p_partkey % 20 = 4 AS package_ambiguous
+ FROM part),
+named AS (
+ SELECT *, CASE WHEN item_id % 17 = 0 THEN '' ELSE 'seller_' || (shop_id % 10) END AS seller_entity_id, k = 7 AS is_gift,
+  CASE k WHEN 0 THEN 'banh_quy' WHEN 2 THEN 'sua_bot' WHEN 4 THEN 'banh' WHEN 6 THEN 'unknown' WHEN 8 THEN 'ca_phe' WHEN 1 THEN 'serum' WHEN 3 THEN 'toner' WHEN 5 THEN 'skincare' WHEN 7 THEN 'unknown' ELSE 'cream' END AS product_type,
+  CASE k WHEN 0 THEN 'phô mai' WHEN 1 THEN 'niacinamide' WHEN 9 THEN 'centella' ELSE '' END AS variant_signature, CASE WHEN k = 2 THEN 'Milo' WHEN k = 0 AND item_id % 3 = 0 THEN 'AFC' ELSE '' END AS family_signature,
+  CASE WHEN m = 2 THEN 'combo 3 ' ELSE '' END || p_name || CASE k WHEN 0 THEN ' banh quy pho mai' || CASE WHEN item_id % 3 = 0 THEN ' afc' ELSE '' END WHEN 2 THEN ' sua bot milo' WHEN 4 THEN ' banh' WHEN 8 THEN ' coffee' WHEN 1 THEN ' serum niacinamide'
+   WHEN 3 THEN ' toner' WHEN 5 THEN ' skincare' WHEN 9 THEN ' cream centella' ELSE '' END
+   || CASE WHEN item_id % 7 = 0 THEN ' ' || size || ',5kg' WHEN m IN (0, 2) THEN ' ' || size * 10 || 'g' WHEN m = 1 THEN ' ' || size * 10 || 'ml' ELSE '' END || CASE WHEN package_ambiguous THEN ' 5g' ELSE '' END AS product_name_clean,
+  CASE WHEN item_id % 7 = 0 THEN (size + 0.5) * 1000 WHEN m IN (0, 2) THEN size * 10 END::DOUBLE AS weight_g, CASE WHEN item_id % 7 <> 0 AND m = 1 THEN size * 10 END::DOUBLE AS volume_ml,
+  CASE WHEN m = 2 THEN 3 ELSE 1 END AS quantity
+ FROM raw),
+sized AS (SELECT *, regexp_matches(brand_clean || ' ' || product_name_clean, '(^| )(combo|bo|set|bundle|paket)') AS is_bundle, CASE WHEN NOT package_ambiguous THEN weight_g * quantity END AS total_weight_g, CASE WHEN NOT package_ambiguous THEN volume_ml * quantity END AS total_volume_ml FROM named),
+listings AS (SELECT *, concat_ws(' ', product_type, nullif(brand_clean, ''), product_name_clean, 'weight ' || weight_g::BIGINT || 'g', 'volume ' || volume_ml::BIGINT || 'ml', 'quantity ' || quantity,
+ 'total_weight ' || total_weight_g::BIGINT || 'g', 'total_volume ' || total_volume_ml::BIGINT || 'ml', CASE WHEN is_bundle THEN 'bundle' END) AS embedding_text FROM sized)"""
+
+MATCH_SQL = LISTING_SQL + """, w AS (SELECT item_id AS id, ' ' || unnest(string_split_regex(trim(lower(embedding_text)), '\\s+')) || ' ' AS w FROM listings),
+g AS (SELECT id, substr(w, i, k) AS gram FROM (SELECT id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM (SELECT id, w, unnest(range(3, least(5, length(w)) + 1)) AS k FROM w WHERE length(w) > 2))),
+tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1),
+weighed AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM listings)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (gram)),
+v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM weighed),
+cand AS (SELECT s.item_id AS a, t.item_id AS b FROM listings s JOIN listings t ON s.country_code = t.country_code AND s.shop_id <> t.shop_id AND NOT (s.seller_entity_id <> '' AND s.seller_entity_id = t.seller_entity_id)
+ AND NOT s.is_gift AND NOT t.is_gift AND (s.catid = t.catid OR (s.product_type <> 'unknown' AND s.product_type = t.product_type))
+ AND (s.product_type IN ('banh', 'skincare', 'unknown') OR t.product_type IN ('banh', 'skincare', 'unknown') OR s.product_type = t.product_type)),
+cosines AS (SELECT c.a, c.b, sum(x.weight * y.weight) AS cosine FROM cand c JOIN v x ON x.id = c.a JOIN v y ON y.id = c.b AND y.gram = x.gram GROUP BY 1, 2),
+sides AS (SELECT c.a, c.b, s, t, coalesce(o.cosine, 0) AS cosine, regexp_extract_all(s.product_name_clean, '[a-z0-9]+') AS x, regexp_extract_all(t.product_name_clean, '[a-z0-9]+') AS y
+ FROM cand c JOIN listings s ON s.item_id = c.a JOIN listings t ON t.item_id = c.b LEFT JOIN cosines o ON o.a = c.a AND o.b = c.b),
+ratios AS (SELECT *, least(s.weight_g, t.weight_g) / greatest(s.weight_g, t.weight_g) + 0 * s.weight_g * t.weight_g AS rw, least(s.volume_ml, t.volume_ml) / greatest(s.volume_ml, t.volume_ml) + 0 * s.volume_ml * t.volume_ml AS rv,
+  least(s.quantity, t.quantity)::DOUBLE / greatest(s.quantity, t.quantity) AS rq, least(s.total_weight_g, t.total_weight_g) / greatest(s.total_weight_g, t.total_weight_g) + 0 * s.total_weight_g * t.total_weight_g AS rtw,
+  least(s.total_volume_ml, t.total_volume_ml) / greatest(s.total_volume_ml, t.total_volume_ml) + 0 * s.total_volume_ml * t.total_volume_ml AS rtv,
+  len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS rj, CASE WHEN s.is_bundle = t.is_bundle THEN 1.0 ELSE 0.35 END AS rb FROM sides),
+features AS (SELECT *, round_even(cosine * 1e6, 0)::BIGINT AS sem,
+  round_even((coalesce(rw, 0) + coalesce(rv, 0) + rq + rj) / ((rw IS NOT NULL)::INT + (rv IS NOT NULL)::INT + 2) * 1e6, 0)::BIGINT AS att,
+  round_even(CASE WHEN s.package_ambiguous OR t.package_ambiguous THEN 0.25 ELSE (coalesce(rw, 0) + coalesce(rv, 0) + coalesce(rtw, 0) + coalesce(rtv, 0) + rq + rb) / ((rw IS NOT NULL)::INT + (rv IS NOT NULL)::INT + (rtw IS NOT NULL)::INT + (rtv IS NOT NULL)::INT + 2) END::DOUBLE * 1e6, 0)::BIGINT AS pk,
+  CASE WHEN s.product_type = 'unknown' OR t.product_type = 'unknown' THEN 450000 WHEN s.product_type <> t.product_type THEN 0 WHEN s.product_type IN ('banh', 'skincare') THEN 550000 ELSE 1000000 END AS ty,
+  CASE WHEN s.brand_clean <> '' AND s.brand_clean = t.brand_clean THEN 1000000 WHEN s.brand_clean <> '' AND t.brand_clean <> '' THEN 500000 ELSE 400000 END AS br,
+  CASE WHEN s.package_ambiguous OR t.package_ambiguous THEN 'ambiguous' WHEN rw < 0.9 THEN 'different_size' WHEN rw IS NOT NULL AND rtw < 0.9 THEN 'different_quantity' WHEN rw IS NOT NULL THEN 'exact'
+   WHEN rv < 0.9 THEN 'different_size' WHEN rv IS NOT NULL AND rtv < 0.9 THEN 'different_quantity' WHEN rv IS NOT NULL THEN 'exact' WHEN s.quantity = t.quantity THEN 'exact' ELSE 'different_quantity' END AS rel FROM ratios),
+totals AS (SELECT *, 40 * sem + 25 * ty + 20 * att + 10 * pk + 5 * br AS raw FROM features),
+gates AS (SELECT *, s.product_type <> 'unknown' AND s.product_type = t.product_type AS st,
+  CASE WHEN s.family_signature <> '' AND t.family_signature <> '' THEN s.family_signature = t.family_signature WHEN s.family_signature = '' AND t.family_signature = '' THEN TRUE ELSE sem >= 850000 END AS sf,
+  CASE WHEN s.variant_signature <> '' AND t.variant_signature <> '' THEN s.variant_signature = t.variant_signature WHEN s.variant_signature = '' AND t.variant_signature = '' THEN TRUE ELSE sem >= 900000 END AS sv FROM totals),
+judged AS (SELECT *, st AND sf AND sv AND s.brand_clean <> '' AND s.brand_clean = t.brand_clean AND att >= 650000 AND sem >= 700000 AND raw >= 70000000 AS ident FROM gates),
+scored AS (SELECT s.country_code, s.shop_id AS source_shop_id, a AS source_item_id, t.shop_id AS target_shop_id, b AS target_item_id, sem, ty, att, pk, br, rel, round_even(raw / 100, 0)::BIGINT / 1e6 AS match_score,
+  CASE WHEN ident AND rel = 'exact' THEN 'same_product' WHEN ident THEN 'same_product_variant' WHEN st AND s.product_type NOT IN ('banh', 'skincare') AND raw >= 60000000 THEN 'substitute' WHEN raw >= 52000000 THEN 'near_match' ELSE 'not_comparable' END AS match_type,
+  CASE WHEN raw >= 80000000 THEN 'high' WHEN raw >= 70000000 THEN 'medium' WHEN raw >= 60000000 THEN 'low' ELSE 'not_enough_evidence' END AS confidence FROM judged),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_item_id ORDER BY match_score DESC, target_shop_id, target_item_id) AS rank FROM scored QUALIFY rank <= 10),
+matched AS (SELECT country_code, source_shop_id, source_item_id, target_shop_id, target_item_id, match_score, match_type, confidence, rank,
+  CASE WHEN max((match_type IN ('same_product', 'same_product_variant', 'substitute') AND match_score >= 0.6)::INT) OVER (PARTITION BY source_item_id) = 1 THEN 'matchable' ELSE 'not_enough_evidence' END AS source_status FROM ranked
+ UNION ALL SELECT country_code, shop_id, item_id, NULL, NULL, 0.0, 'not_enough_evidence', 'not_enough_evidence', 1, 'not_enough_evidence' FROM listings WHERE item_id NOT IN (SELECT a FROM cand))"""
+
+
+def listings(m):
+    k = "p_partkey % 10"
+    title = f"""concat(CASE WHEN p_partkey % 4 = 2 THEN 'Combo 3 ' ELSE '' END, p_name, CASE {k} WHEN 0 THEN concat(' Bánh Quy phô mai', CASE WHEN p_partkey % 3 = 0 THEN ' AFC' ELSE '' END) WHEN 2 THEN ' Sữa Bột MILO' WHEN 4 THEN ' bánh' WHEN 8 THEN ' Coffee'
+      WHEN 1 THEN ' Serum Niacinamide' WHEN 3 THEN ' TONER' WHEN 5 THEN ' skincare' WHEN 7 THEN ' [promo] free gift' WHEN 9 THEN ' Cream Centella' ELSE '' END,
+      CASE WHEN p_partkey % 7 = 0 THEN concat(' ', p_size, ',5kg') WHEN p_partkey % 4 IN (0, 2) THEN concat(' ', p_size * 10, 'g') WHEN p_partkey % 4 = 1 THEN concat(' ', p_size * 10, 'ml') ELSE '' END, CASE WHEN p_partkey % 20 = 4 THEN ' 5g' ELSE '' END, ' official store!!')"""
+    shop = "cast(regexp_extract(p_brand, '#([0-9]+)', 1) as bigint)"
+    df = m.table("part").selectExpr(
+        "if(p_partkey % 2 = 0, 'vn', 'id') as country_code", f"{shop} as shop_id", "p_partkey as item_id", f"{title} as product_name", "if(p_partkey % 11 = 0, null, concat(p_brand, ' Official Store')) as brand",
+        f"if(p_partkey % 17 = 0, '', concat('seller_', {shop} % 10)) as seller_entity_id", "p_retailprice as price", "if(p_partkey % 13 = 0, null, p_size % 8) as catid", f"concat('company_', {shop} % 5) as company_name", f"concat('Seller ', {shop} % 10) as seller_entity_name",
+        """if(p_partkey % 6 = 0, '["a", " ", "b"]', '["a"]') as tier_variation_options_json""",
+    )
+    return parse.with_attributes(df)
+
+
+PARSED = ["product_type", "variant_signature", "family_signature", "product_name_clean", "brand_clean", "weight_g", "volume_ml", "is_bundle", "is_gift", "package_ambiguous", "total_weight_g", "total_volume_ml", "embedding_text"]
+
+
+@query(LISTING_SQL + f" SELECT item_id, quantity::BIGINT AS quantity, {', '.join(PARSED)}, CASE WHEN item_id % 6 = 0 THEN 2 ELSE 1 END::BIGINT AS variation_count, item_id % 6 = 0 AS price_variant_ambiguous FROM listings")
+def product_attributes(m):
+    return listings(m).select("item_id", n("quantity"), *PARSED, n("variation_count"), "price_variant_ambiguous")
+
+
+@query(MATCH_SQL + " SELECT a, b FROM cand")
+def match_candidates(m):
+    """Category and type blocks with the generic-type, seller and gift gates, as one join."""
+    return matching.candidate_pairs(listings(m)).select(F.col("s.item_id").alias("a"), F.col("t.item_id").alias("b"))
+
+
+@query(MATCH_SQL + " SELECT source_item_id AS a, target_item_id AS b, sem / 1e6 AS semantic, ty / 1e6 AS type_score, att / 1e6 AS attribute_score, pk / 1e6 AS pack_score, br / 1e6 AS brand_score, rel AS package_relation, match_score, match_type, confidence FROM scored")
+def match_features(m):
+    pairs = matching.scored_pairs(listings(m).withColumn("oid", F.col("item_id")), max_features=None)
+    return pairs.select(F.col("s.item_id").alias("a"), F.col("t.item_id").alias("b"), "semantic", "type_score", "attribute_score", "pack_score", "brand_score", "package_relation", "match_score", "match_type", "confidence")
+
+
+MATCHED = ["country_code", "source_shop_id", "source_item_id", "target_shop_id", "target_item_id", "match_score", "match_type", "confidence", "source_status"]
+
+
+@query(MATCH_SQL + f" SELECT {', '.join(MATCHED)}, rank FROM matched")
 def match_topk(m):
-    return matching.match_offers(_parsed(m), max_features=None)
+    return matching.match_offers(listings(m), max_features=None).select(*MATCHED, n("rank"))
 
 
-@query()
+@query(MATCH_SQL + " SELECT match_type, source_status, count(*) AS rows FROM matched GROUP BY 1, 2")
 def match_type_counts(m):
-    return matching.match_offers(_parsed(m), max_features=None).groupBy("match_type", "source_status").agg(F.count("*").alias("rows"))
+    return matching.match_offers(listings(m), max_features=None).groupBy("match_type", "source_status").agg(F.count("*").alias("rows"))
+
+
+@query("""WITH w AS (SELECT item_id AS id, ' ' || unnest(string_split_regex(trim(lower(text)), '\\s+')) || ' ' AS w FROM benchmark),
+g AS (SELECT id, substr(w, i, k) AS gram FROM (SELECT id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM (SELECT id, w, unnest(range(3, least(5, length(w)) + 1)) AS k FROM w WHERE length(w) > 2))),
+df AS (SELECT gram, count(*) AS total, count(DISTINCT id) AS df FROM g GROUP BY 1 ORDER BY total DESC, gram LIMIT 1000) SELECT gram, df FROM df""")
+def tfidf_vocabulary(m):
+    """The most frequent grams that the vectors may use."""
+    return matching.vocabulary(matching.char_ngrams(m.table("benchmark"), "item_id", "text"), 1000).select("gram", "df")
 
 
 @query(" SELECT item_id AS source_item_id FROM offers WHERE item_id NOT IN (SELECT source_item_id FROM pairs)", 1)
@@ -468,9 +568,15 @@ def no_candidate_rows(m):
     return m.matches().filter("target_item_id is null").select("source_item_id")
 
 
-@query()
+@query(""", src AS (SELECT country_code, source_shop_id, source_item_id, max((match_type IN ('same_product', 'same_product_variant'))::INT) AS ident, max((source_status = 'matchable')::INT) AS ok, md5('42:' || country_code || ':' || source_shop_id || ':' || source_item_id) AS draw FROM matches GROUP BY 1, 2, 3),
+pools AS (SELECT *, CASE WHEN ident = 1 THEN 'identity_prediction' WHEN ok = 0 THEN 'abstention' ELSE 'other_matchable' END AS stratum FROM src),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw) AS n FROM pools),
+phased AS (SELECT *, CASE WHEN stratum = 'identity_prediction' AND n <= 10 THEN 0 WHEN stratum = 'abstention' AND n <= 10 THEN 1
+ WHEN stratum = 'other_matchable' AND n <= 40 - (SELECT count(*) FROM numbered WHERE stratum <> 'other_matchable' AND n <= 10) THEN 2 ELSE 3 END AS phase FROM numbered)
+SELECT row_number() OVER (ORDER BY p.phase, p.draw, m.rank) AS review_id, p.stratum AS review_stratum, m.country_code || ':' || m.source_shop_id || ':' || m.source_item_id || ':' || coalesce(m.target_shop_id::VARCHAR, 'None') || ':' || coalesce(m.target_item_id::VARCHAR, 'None') AS pair_key
+FROM matches m JOIN phased p USING (country_code, source_shop_id, source_item_id) WHERE m.rank <= 5 ORDER BY p.phase, p.draw, m.rank LIMIT 200""", 1)
 def review_sample(m):
-    return matching.review_sample(m.matches(), 200)
+    return matching.review_sample(m.matches(), 200).select(n("review_id"), "review_stratum", "pair_key")
 
 
 # ------------------------------------------------------------------ evaluation

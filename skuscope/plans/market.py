@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import recommend, signals, snapshots
+from ..sources.scratch import stage
 
 
 class Market:
-    """Lazily built tables of one data folder; each is declared once and reused by the plans."""
+    """Tables of one data folder. Products, events, matches and signals are stage tables: the
+    first query that needs one writes it, in country partitions, and all others read it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -27,6 +29,9 @@ class Market:
         )
 
     def products(self) -> DataFrame:
+        return stage(self.spark, (self.dir,), "products", self._products, "country_code")
+
+    def _products(self) -> DataFrame:
         """Yearly snapshots of what each offer sold."""
         sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.trunc("l_shipdate", "year").alias("snapshot_date")).agg(
             F.median(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100.0).alias("price"), F.round(F.avg("l_discount") * 1000, 4).alias("discount_percent"), F.sum("l_quantity").alias("monthly_sold_value"),
@@ -42,7 +47,10 @@ class Market:
             (F.col("size") % 7 == 0).alias("package_ambiguous"), (F.col("size") % 5 == 0).alias("price_variant_ambiguous"), "seller_entity_id", "company_id",
         )
 
-    def matches(self, top_k: int = 10) -> DataFrame:
+    def matches(self) -> DataFrame:
+        return stage(self.spark, (self.dir,), "matches", self._matches, "country_code")
+
+    def _matches(self, top_k: int = 10) -> DataFrame:
         """Offers of the same country, category and name in other shops, scored by size, top k."""
         o = self.offers().select("country_code", "category", "product_name", "shop_id", "item_id", "size", "seller_entity_id")
         s, t = o.alias("s"), o.alias("t")
@@ -65,9 +73,15 @@ class Market:
         return signals.peer_groups(self.matches())
 
     def events(self) -> DataFrame:
+        return stage(self.spark, (self.dir,), "events", self._events, "country_code")
+
+    def _events(self) -> DataFrame:
         return snapshots.change_events(self.products())
 
     def signals(self) -> DataFrame:
+        return stage(self.spark, (self.dir,), "signals", self._signals, "country_code")
+
+    def _signals(self) -> DataFrame:
         return signals.market_signals(self.products(), self.attributes(), self.peers(), self.events())
 
     def alerts(self) -> DataFrame:
