@@ -4,8 +4,8 @@ Rotations are learnt on a bounded sample (``SAMPLE`` vectors of smallest id hash
 principal axes, then alternating sign codes and orthogonal fits, so that bits are balanced
 and lose little; several rotations from different starts give a code of ``BITS`` bits,
 whatever the vectors' length. Every vector is put into multi-index Hamming tables, each keyed
-by some blocks of its code. A key has about as many bits as the table's row count (so buckets
-don't grow with the table), and as many tables are made as it takes for synthetic partners of
+by some blocks of its code. A key has a few bits more than the table's row count (so strangers
+in a bucket don't grow with the table), and as many tables are made as it takes for synthetic partners of
 the sample at exactly the threshold to be found with ``RECALL``. Vectors that meet in a table
 are reranked by their original components in double precision; a pair links exactly if its
 cosine reaches the threshold. Candidates meet in tiles (see common.tile_groups), so a bucket
@@ -29,7 +29,9 @@ from .common import components, discard, materialize, roots, sorted_groups, tile
 
 SAMPLE, ROUNDS, RARE = 10_000, 30, 512
 #: Code bits, bits of a block, principal axes used, and the most tables.
-BITS, BLOCK, AXES, TABLES = 256, 4, 64, 160
+BITS, BLOCK, AXES, TABLES = 256, 2, 64, 160
+#: Members of a tile: a large group is spread over many tasks.
+TILE = 256
 RECALL, PROBES = 0.985, 1500
 
 
@@ -62,7 +64,7 @@ class Tables:
         v = c @ axes
         turns = [itq(v, start) for start in range(-(-BITS // axes.shape[1]))]
         self.projection = (axes @ np.concatenate(turns, axis=1))[:, :BITS]
-        width = min(32, max(12, int(rows).bit_length()))
+        width = min(40, max(12, int(rows).bit_length() + 3))
         rng = np.random.Generator(np.random.PCG64(11))
         self.chosen = np.stack([rng.permutation(BITS // BLOCK)[: -(-width // BLOCK)] for _ in range(TABLES)])
         self.chosen = self.chosen[: self.needed(x, threshold)]
@@ -164,7 +166,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, sample: int = SAMPLE
     good = table.filter(usable() & F.col("vec_id").isNotNull())
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("doc"), F.count("*").alias("times"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")  # ids are fixed by being written
-    groups = tile_groups(block_keys(classes.select("id", "embedding"), fit(classes, threshold, sample)))
+    groups = tile_groups(block_keys(classes.select("id", "embedding"), fit(classes, threshold, sample)), tile=TILE)
     links = materialize(rerank(groups.join(classes.select("id", "embedding", "times"), "id"), threshold), "vector-links")
     counted = links.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     own = classes.join(counted, "id", "left").select("id", "embedding", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
