@@ -86,13 +86,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EVERY, LEAST, PART = 64, 8, 512
 
 
+def in_sample(member: str, every: int | None = None):
+    return F.pmod(F.xxhash64(F.lit("hot"), member), F.lit(every or EVERY)) == 0
+
+
 def hot_keys(rows: DataFrame, keys: list[str], member: str, every: int | None = None) -> DataFrame:
     """(keys, parts): keys that seem to hold many members, and over how many salts to deal them.
 
     Only the dealing depends on the sample; a key it misses is handled whole and gives the same rows.
     """
     every = every or EVERY
-    seen = rows.filter(F.pmod(F.xxhash64(F.lit("hot"), member), F.lit(every)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    seen = rows.filter(in_sample(member, every)).groupBy(*keys).agg(F.count("*").alias("n"))
     return materialize(seen.filter(F.col("n") >= LEAST).select(*keys, (1 + F.floor(F.col("n") * every / PART)).cast("int").alias("parts")), "hot-keys")
 
 
@@ -187,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
 TILE, WEIGHT, SMALL = 1024, 1 << 19, 8
 
 
-def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, weight: int = WEIGHT, small: int = SMALL, every: int | None = None) -> DataFrame:
+def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, weight: int = WEIGHT, small: int = SMALL, every: int | None = None, sampled: DataFrame | None = None) -> DataFrame:
     """Which members must be compared with which: rows (ti, tj, tile, id).
 
     ``postings`` has (g, id, size, ...): id carries key g. One shuffle by g counts each
@@ -198,24 +202,24 @@ def tile_groups(postings: DataFrame, near=None, refine=None, tile: int = TILE, w
     of label propagation find connected, so that most groups meet inside one tile. Each
     member goes to the tiles that its lists reach, so a list of m members in k tiles costs
     m * k rows instead of m^2 pairs. Any two members meet in at most one (ti, tj).
-    The lists of hot keys are dealt over salts wherever rows meet by key.
+    The lists of hot keys are dealt over salts wherever rows meet by key; ``sampled`` may hold
+    the postings of ``in_sample`` members where that is cheaper than to filter them.
     """
-    hot = hot_keys(postings, ["g"], "id", every)
-    dealt = postings.join(hot, "g", "left")
-    w = Window.partitionBy("g")
+    hot = hot_keys(postings if sampled is None else sampled, ["g"], "id", every)
+    dealt = postings.join(hot, "g", "left").withColumn("salt", F.coalesce(salt_of("id"), F.lit(0)))
+    w = Window.partitionBy("g", "salt")
     order = w.orderBy("id")
     row = F.struct(*[c for c in postings.columns if c != "g"])
     after = F.array_compact(F.array(*[F.lead(row, k).over(order) for k in range(1, small)]))
-    shared = dealt.filter("parts is null").drop("parts").withColumns({"cnt": F.count("*").over(w), "after": after}).filter("cnt > 1")
+    shared = dealt.withColumns({"cnt": F.count("*").over(w), "after": after}).filter("cnt > 1 or parts is not null")
 
     def partner(x):
         return (x["id"] > F.col("id")) & (near(row, x) if near else F.lit(True))
 
     found = F.transform(F.filter("after", partner), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size")))
-    shared = shared.withColumn("partners", F.when(F.col("cnt") <= small, found)).withColumn("parts", F.lit(1))
-    shared = shared.filter((F.col("cnt") > small) | (F.size("partners") > 0)).select("g", "id", "size", "cnt", "partners", "parts")
-    known = dealt.filter("parts is not null").select("g", "id", "size", (F.col("parts") * F.lit(PART)).cast("long").alias("cnt"), F.lit(None).alias("partners"), "parts")
-    shared = materialize(shared.unionByName(known), "postings")
+    shared = shared.withColumn("partners", F.when((F.col("cnt") <= small) & F.col("parts").isNull(), found))
+    shared = shared.filter("partners is null or size(partners) > 0").withColumns({"cnt": F.coalesce((F.col("parts") * F.lit(PART)).cast("long"), "cnt"), "parts": F.coalesce("parts", F.lit(1))})
+    shared = materialize(shared.select("g", "id", "size", "cnt", "partners", "parts"), "postings")
     pairs = shared.filter("partners is not null").select(F.col("id").alias("a"), F.col("size").alias("na"), F.explode("partners").alias("p"))
     pairs = pairs.select("a", F.col("p.id").alias("b"), "na", F.col("p.size").alias("nb")).distinct()
     pairs = materialize(refine(pairs) if refine else pairs, "pairs")
@@ -249,7 +253,7 @@ def tile_homes(links: DataFrame, tile: int, weight: int) -> DataFrame:
     load = F.greatest(F.col("size"), F.lit(-(-weight // tile)))
     keys = materialize(home.groupBy("label", "sig").agg(F.sum(load).alias("load")), "loads")
     whole = materialize(keys.groupBy("label").agg(F.sum("load").alias("whole")), "loads")
-    places = F.when(F.col("whole") <= weight, F.lit(1).cast("long")).otherwise(F.ceil(2 * F.col("whole") / weight))
+    places = F.when(F.col("whole") <= weight, F.lit(1).cast("long")).otherwise(F.ceil(F.col("whole") / weight))
     keys_ = materialize(keys.join(whole, "label").select("label", "sig", F.ceil(F.col("load") / weight).alias("parts"), F.pmod(F.xxhash64("sig"), places).alias("place")), "places")
     part = F.when(F.col("parts") > 1, F.xxhash64("sig", F.pmod(F.xxhash64("id"), "parts"))).otherwise(F.col("place"))
     out = materialize(home.join(keys_, ["label", "sig"]).select("id", F.xxhash64("label", part).alias("tile")), "tiles")

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, roots, sorted_groups, tile_groups
+from .common import components, discard, in_sample, materialize, roots, sorted_groups, tile_groups
 
 SAMPLE, ROUNDS, RARE = 10_000, 30, 512
 #: Code bits, bits of a block, principal axes used, and the most tables.
 BITS, BLOCK, AXES, TABLES = 256, 2, 64, 160
 #: Members of a tile: a large group is spread over many tasks.
-TILE = 256
+TILE = 512
 RECALL, PROBES = 0.985, 1500
 
 
@@ -166,7 +166,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, sample: int = SAMPLE
     good = table.filter(usable() & F.col("vec_id").isNotNull())
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("doc"), F.count("*").alias("times"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")  # ids are fixed by being written
-    groups = tile_groups(block_keys(classes.select("id", "embedding"), fit(classes, threshold, sample)), tile=TILE)
+    tables, held = fit(classes, threshold, sample), classes.select("id", "embedding")
+    groups = tile_groups(block_keys(held, tables), tile=TILE, sampled=block_keys(held.filter(in_sample("id")), tables))
     links = materialize(rerank(groups.join(classes.select("id", "embedding", "times"), "id"), threshold), "vector-links")
     counted = links.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     own = classes.join(counted, "id", "left").select("id", "embedding", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
