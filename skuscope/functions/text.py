@@ -67,6 +67,7 @@ def causal_claim(c: Column) -> Column:
     return hit
 
 
+# The marks around data that may hold instructions.
 def wrap_untrusted(source: str, payload: Column) -> Column:
     return F.concat(
         F.lit(f'<UNTRUSTED_DATA source="{source}">\n'), payload,
@@ -74,13 +75,24 @@ def wrap_untrusted(source: str, payload: Column) -> Column:
     )
 
 
+def extract_country(c: Column) -> Column:
+    """The country code or name that a message mentions, if any."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"\bvn\b|việt nam|viet nam|vietnam"), "vn").when(low.rlike(r"\bid\b(?!\s*[:=#]?\s*\d)|indonesia"), "id")
+
+
 def parse_scope(c: Column) -> Column:
-    """``vn:1,id:2`` as an array of (country_code, shop_id)."""
-    parts = F.filter(F.split(c, ","), lambda x: F.trim(x) != "")
-    return F.transform(parts, lambda x: F.struct(
-        F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("country_code"),
-        F.split_part(x, F.lit(":"), F.lit(2)).try_cast("bigint").alias("shop_id"),
-    ))
+    """``vn:1,id:2`` as an array of distinct (country_code, shop_id); anything else fails the job."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    wrong = F.raise_error(F.concat(F.lit("a scope must read country:shop_id, not "), c))
+
+    def one(x: Column) -> Column:
+        country = F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1))))
+        shop = F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).try_cast("bigint")
+        ok = country.isin("vn", "id") & F.coalesce(shop > 0, F.lit(False))
+        return F.struct(F.when(ok, country).otherwise(wrong.cast("string")).alias("country_code"), shop.alias("shop_id"))
+
+    return F.array_distinct(F.transform(parts, one))
 
 
 def memory_score(query: str, content: Column) -> Column:

@@ -11,9 +11,9 @@ SOURCE = ["country_code", "source_shop_id", "source_item_id"]
 
 
 def join_labels(reviews: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels by pair_key where both have one, else by review_id; the last label of a key wins."""
+    """Labels by pair_key where both have one, else by review_id; the last label of a key (by row_number) wins."""
     key = "pair_key" if "pair_key" in labels.columns and "pair_key" in reviews.columns else "review_id"
-    last = labels.groupBy(key).agg(F.last("review_label").alias("__label"))
+    last = labels.groupBy(key).agg(F.max_by("review_label", "row_number").alias("__label"))
     return reviews.join(last, key, "left").withColumn("review_label", F.coalesce("__label", "review_label")).drop("__label")
 
 

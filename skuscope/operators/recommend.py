@@ -9,6 +9,18 @@ from . import signals as S
 from .snapshots import latest
 
 DEFAULT_MARGIN = 10.0
+RULES = "price-rules-1"
+# The cards' texts, by the step that led to them or by action.
+TEXTS = {
+    "watch": ("Theo dõi ", " sản phẩm thay thế từ đơn vị bán khác. Các sản phẩm này hữu ích để quan sát cạnh tranh nhưng chưa đủ tương đương để làm giá mục tiêu."),
+    "none": "Chưa có đủ sản phẩm đối thủ tương đồng và đáng tin cậy; hệ thống chưa đề xuất thay đổi.",
+    "outlier": "Giá hiện tại nằm ngoài khoảng so sánh thông thường; cần kiểm tra lại dữ liệu trước khi hành động.",
+    "reduce_price": "Cân nhắc điều chỉnh giá về gần mức giá trung vị của nhóm đối thủ, sau khi xác nhận giá sàn.",
+    "use_voucher": "Cân nhắc dùng mã giảm giá để thu hẹp chênh lệch khuyến mãi mà vẫn bảo đảm biên lợi nhuận.",
+    "hold_price": "Giữ nguyên giá hiện tại và tiếp tục theo dõi tín hiệu thị trường.",
+}
+#: What a cost row may say beside cost and margin.
+COST_NOTES = {"cost_low": "double", "cost_high": "double", "cost_seed_pct": "double", "cost_reference_price": "double", "cost_confidence": "string", "baseline_type": "string"}
 
 
 def checked_costs(costs: DataFrame) -> DataFrame:
@@ -23,8 +35,11 @@ def checked_costs(costs: DataFrame) -> DataFrame:
         F.when(F.col("cost_value") > 0, F.col("cost_value").cast("double")).otherwise(bad_cost.cast("double")).alias("cost_value"),
         F.when((margin >= 0) & (margin < 100), margin).otherwise(bad_margin.cast("double")).alias("margin_min_pct"),
         F.coalesce(seeded, F.lit("verified_input")).alias("cost_source"),
+        *[(F.col(c) if c in costs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in COST_NOTES.items()],
     )
-    return held.groupBy(*S.SOURCE).agg(F.max_by(F.struct("cost_value", "margin_min_pct", "cost_source"), "__order").alias("c")).select(*S.SOURCE, "c.*")
+    held = held.withColumns({"cost_confidence": F.coalesce("cost_confidence", F.lit("verified")), "baseline_type": F.coalesce("baseline_type", F.lit("unknown"))})
+    given = ["cost_value", "margin_min_pct", "cost_low", "cost_high", "cost_seed_pct", "cost_reference_price", "cost_source", "cost_confidence", "baseline_type"]
+    return held.groupBy(*S.SOURCE).agg(F.max_by(F.struct(*given), "__order").alias("cost_assumption")).select(*S.SOURCE, "cost_assumption", "cost_assumption.cost_value", "cost_assumption.margin_min_pct", "cost_assumption.cost_source")
 
 
 def ceil_100(c: Column) -> Column:
@@ -117,21 +132,40 @@ def decide(df: DataFrame) -> DataFrame:
     })
     paid = F.when(c("action") == "use_voucher", price * (1.0 - c("recommended_discount_percent") / 100.0)).otherwise(c("recommended_price"))
     df = df.withColumn("estimated_margin_pct", F.when(c("has_cost") & (paid > 0), F.round((paid - c("cost_value")) / paid * 100.0, 2)))
+    said = F.when(c("step") == "watch", F.concat(F.lit(TEXTS["watch"][0]), bench.cast("string"), F.lit(TEXTS["watch"][1])))
+    for name in ("none", "outlier"):
+        said = said.when(c("step") == name, TEXTS[name])
+    for name in ("reduce_price", "use_voucher"):
+        said = said.when(c("action") == name, TEXTS[name])
+    df = df.withColumn("recommendation_text", said.otherwise(TEXTS["hold_price"]))
     return df.drop("has_cost", "seeded", "branch", "step", "voucher")
 
 
-CARD = ["country_code", "snapshot_date", "source_shop_id", "source_item_id", "status", "action", "priority", "confidence", "source_price", "recommended_price",
-        "recommended_discount_percent", "price_floor", "cost_value", "margin_min_pct", "estimated_margin_pct", "constraint_status", "reason_codes"]
+CARD = [
+    "country_code", "snapshot_date", "source_shop_id", "source_item_id", "currency", "recommendation_status", "action", "priority", "confidence", "source_price", "market_reference_price",
+    "recommended_price", "source_discount_percent", "recommended_discount_percent", "price_floor", "cost_value", "margin_min_pct", "estimated_margin_pct", "constraint_status", "reason_codes",
+    "recommendation_text", "evidence", "rule_version", "created_at",
+]
+CARD_EVIDENCE = [
+    "peer_count", "peer_median_price", "source_list_price", "source_historical_median_price", "source_price_observation_count", "price_baseline_value", "price_baseline_type", "price_baseline_actionable",
+    "price_gap_pct", "discount_gap_pct", "pressure_score", "price_down_peer_count", "promotion_peer_count", "signal_confidence", "signal_model_version", "benchmark_peer_count", "benchmark_best_score",
+    "benchmark_usage", "cost_assumption",
+]
 
 
-def recommendations(signals: DataFrame, peers: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+def recommendations(signals: DataFrame, peers: DataFrame, costs: DataFrame | None = None, created_at=None) -> DataFrame:
     """Cards of the latest signals, with the substitutes watched and the costs known."""
     bench = peers.filter("peer_status = 'peer_found' and relation = 'substitute'").groupBy(*S.SOURCE).agg(F.count("*").cast("int").alias("watched"), F.max("match_score").alias("benchmark_best_score"))
     held = latest(signals, S.SOURCE).join(bench, S.SOURCE, "left").withColumn("benchmark_peer_count", F.coalesce("watched", F.lit(0))).drop("watched")
     if costs is not None:
         held = held.join(checked_costs(costs), S.SOURCE, "left")
-    evidence = F.to_json(F.struct("peer_count", "benchmark_peer_count", "benchmark_best_score", "peer_median_price", "price_gap_pct", "discount_gap_pct", "competitive_pressure_score", "signal_confidence", "cost_value"), {"ignoreNullFields": "false"})
-    return decide(held).select(*CARD, evidence.alias("evidence"))
+    else:
+        held = held.withColumn("cost_assumption", F.lit(None).cast("string"))
+    decided = decide(held).withColumnsRenamed({"status": "recommendation_status"}).withColumns({
+        "market_reference_price": F.col("peer_median_price"), "reason_codes": F.to_json("reason_codes"), "pressure_score": F.col("competitive_pressure_score"),
+        "signal_model_version": F.lit(S.VERSION), "benchmark_usage": F.lit("context_only_not_price_target"), "rule_version": F.lit(RULES), "created_at": F.current_timestamp() if created_at is None else F.lit(created_at),
+    })
+    return decided.withColumn("evidence", F.to_json(F.struct(*CARD_EVIDENCE), {"ignoreNullFields": "false"})).select(*CARD)
 
 
 def seed_costs(signals: DataFrame, attributes: DataFrame, margin: float = 15.0) -> DataFrame:

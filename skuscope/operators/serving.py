@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 import pandas as pd
@@ -90,13 +91,14 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 60
     names = [*events.columns, "allowed"]
 
     def run(batches):
-        current, held = object(), []
+        current, held = object(), deque()
         for pdf in batches:
             allowed = []
             for k, t in zip(pdf[key], pdf[ts].astype("int64" if pdf[ts].dtype.kind != "M" else "datetime64[us]").astype("int64")):
                 if k != current:
-                    current, held = k, []
-                held = [x for x in held if x > t - seconds * 1_000_000]
+                    current, held = k, deque()
+                while held and held[0] <= t - seconds * 1_000_000:
+                    held.popleft()
                 allowed.append(len(held) < limit)
                 if allowed[-1]:
                     held.append(t)

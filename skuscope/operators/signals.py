@@ -12,6 +12,8 @@ ACTIVITY = [*IDENTITY, "substitute"]
 PEER_TYPES = [*ACTIVITY, "near_match"]
 SOURCE = ["country_code", "source_shop_id", "source_item_id"]
 DAY = [*SOURCE, "snapshot_date"]
+#: Names the rules in evidence.
+VERSION = "market-signals-1"
 
 
 def peer_groups(matches: DataFrame, min_score: float = 0.60) -> DataFrame:
@@ -218,7 +220,8 @@ def alerts(signals: DataFrame, peers: DataFrame, events: DataFrame) -> DataFrame
     moves = t.isin("competitor_price_down", "competitor_promotion_started")
     raised = raised.withColumn("kind", F.when(moves, t).when(t.isin("our_price_above_market", "our_discount_below_market"), "price"))
     scope = F.when(moves, "qualified_substitute_activity").otherwise("normalized_price_equivalent")
-    evidence = F.to_json(F.struct(scope.alias("comparison_scope"), *EVIDENCE), {"ignoreNullFields": "false"})
+    shown = [F.col(c).alias("pressure_score") if c == "competitive_pressure_score" else F.col(c) for c in EVIDENCE]
+    evidence = F.to_json(F.struct(*shown[:2], scope.alias("comparison_scope"), *shown[2:]), {"ignoreNullFields": "false"})
     targets = alert_targets(peers, events).withColumnRenamed("snapshot_date", "on_day")
     on = [raised[c] == targets[c] for c in SOURCE] + [raised["kind"] == targets["kind"], targets["on_day"].isNull() | (targets["on_day"] == raised["snapshot_date"])]
     return raised.join(targets, on, "left").select(*[raised[c] for c in DAY], "alert_type", "severity", "metric_name", "metric_value", "threshold", "target_shop_id", "target_item_id", scope.alias("comparison_scope"), evidence.alias("evidence"))

@@ -16,16 +16,21 @@ def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str] = KEY, date: str = "snapshot_date") -> DataFrame:
-    return first_wins(rows, keys, [F.col(date).desc()])
+    """The last row of each key; of several on one day, that of the smallest source_file, then row hash."""
+    ties = [F.col("source_file")] if "source_file" in rows.columns else []
+    return first_wins(rows, keys, [F.col(date).desc(), *ties, F.xxhash64(*[F.col(c) for c, t in rows.dtypes if not t.startswith("map")])])
 
 
-def quality(rows: DataFrame, keys: list[str], dataset: str = "dataset", price: str = "price") -> DataFrame:
-    """Per dataset: source, loaded and duplicate rows; null, non-positive and outlying prices of the loaded."""
-    per_key = rows.groupBy(dataset, *keys).agg(F.count("*").alias("n"), F.first(price).alias("p"))
-    c = F.col("p")
+def quality(rows: DataFrame, keys: list[str], order: list[str], dataset: str = "dataset", price: str = "price") -> DataFrame:
+    """Per dataset: source, loaded and duplicate rows; null, non-positive and outlying prices of the loaded.
+
+    The loaded row of a key is its first in ``order``.
+    """
+    per_key = rows.groupBy(dataset, *keys).agg(F.count("*").alias("n"), F.min_by(F.struct(price), F.struct(*order)).alias("p"))
+    c = F.col(f"p.{price}")
     return per_key.groupBy(dataset).agg(
         F.sum("n").alias("source_rows"), F.count("*").alias("loaded_rows"), (F.sum("n") - F.count("*")).alias("duplicate_rows"),
-        F.count_if(c.isNull()).alias("null_prices"), F.count_if(c <= 0).alias("nonpositive_prices"), F.count_if(c >= 10_000_000).alias("price_outliers"),
+        F.count_if(c.isNull()).alias("null_price_rows"), F.count_if(c <= 0).alias("invalid_price_rows"), F.count_if(c >= 10_000_000).alias("outlier_price_rows"),
     )
 
 

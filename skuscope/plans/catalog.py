@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, parse, score, text
-from ..operators import evaluate, matching, recommend, serving, signals, snapshots, synthetic
-from .market import BASE_SQL, SIGNAL_SQL, Market
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, base: int = 0):
-    """Registers a builder of (Market) -> DataFrame; base 1 or 2 puts the market (and signal) tables before the SQL."""
-
-    def add(build):
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(Market(spark, sf_dir))
-        if sql is not None:
-            head = "" if not base else "WITH " + BASE_SQL + ("" if base == 1 else "," + SIGNAL_SQL)
-            ORACLES[build.__name__] = head + off_half(sql)
-        return build
-
-    return add
-
-
-def r(c: str, digits: int = 4, name: str | None = None):
-    """Rounded off the half-way points, where engines differ by the last bit."""
-    scale = 10.0**digits
-    return (F.floor(F.col(c).cast("double") * scale + 0.37) / scale).alias(name or c)
-
-
-def off_half(sql: str) -> str:
-    """round(x, n) of an oracle in the same terms."""
-    return re.sub(r"(?<![a-z_])round\(((?:[^()]|\([^()]*\))*), (\d)\)", r"(floor((\1) * 1e\2 + 0.37) / 1e\2)", sql)
-
-
-def n(c: str, name: str | None = None):
-    return F.col(c).cast("bigint").alias(name or c)
-
+from ..operators import evaluate, matching, recommend, serving, signals, snapshots
+from .registering import ORACLES, QUERIES, n, query, r
 
 # ------------------------------------------------------------------ ingest and cleaning
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN trunc(value) WHEN 3 THEN 12 ELSE -7 END::BIGINT AS whole,
@@ -89,11 +54,16 @@ def dedup_first_wins(m):
     return got.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
 
 
-@query("""WITH k AS (SELECT l_returnflag AS dataset, l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY 1, 2, 3)
-SELECT dataset, sum(c)::BIGINT AS source_rows, count(*) AS loaded_rows, (sum(c) - count(*))::BIGINT AS duplicate_rows FROM k GROUP BY 1""")
+@query("""WITH k AS (SELECT l_returnflag AS dataset, CASE WHEN l_partkey % 50 = 0 THEN NULL WHEN l_partkey % 50 = 1 THEN -1 WHEN l_partkey % 50 = 2 THEN 10000000 ELSE l_extendedprice END AS price,
+  row_number() OVER (PARTITION BY l_returnflag, l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT dataset, count(*) AS source_rows, count(*) FILTER (WHERE k = 1) AS loaded_rows, count(*) FILTER (WHERE k > 1) AS duplicate_rows, count(*) FILTER (WHERE k = 1 AND price IS NULL) AS null_price_rows,
+ count(*) FILTER (WHERE k = 1 AND price <= 0) AS invalid_price_rows, count(*) FILTER (WHERE k = 1 AND price >= 10000000) AS outlier_price_rows FROM k GROUP BY 1""")
 def ingestion_quality(m):
-    rows = m.table("lineitem").withColumnRenamed("l_returnflag", "dataset").withColumnRenamed("l_extendedprice", "price")
-    return snapshots.quality(rows, ["l_orderkey", "l_linenumber"]).select("dataset", n("source_rows"), n("loaded_rows"), n("duplicate_rows"))
+    p = F.col("l_partkey") % 50
+    price = F.when(p == 0, None).when(p == 1, -1.0).when(p == 2, 1e7).otherwise(F.col("l_extendedprice"))
+    rows = m.table("lineitem").withColumnRenamed("l_returnflag", "dataset").withColumn("price", price)
+    got = snapshots.quality(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    return got.select("dataset", *[n(c) for c in ("source_rows", "loaded_rows", "duplicate_rows", "null_price_rows", "invalid_price_rows", "outlier_price_rows")])
 
 
 # ------------------------------------------------------------------ snapshots and events
@@ -148,8 +118,7 @@ def scope_filter(m):
 
 @query("SELECT * EXCLUDE (p_name, p_size), 'v1' AS version FROM part")
 def select_except(m):
-    m.table("part").createOrReplaceTempView("__part")
-    return m.spark.sql("SELECT * EXCEPT (p_name, p_size), 'v1' AS version FROM __part")
+    return m.spark.sql("SELECT * EXCEPT (p_name, p_size), 'v1' AS version FROM {part}", part=m.table("part"))
 
 
 # ------------------------------------------------------------------ joins
@@ -246,11 +215,6 @@ def count_filter_max_filter(m):
     return m.peers().filter("peer_status = 'peer_found'").groupBy("source_item_id").agg(F.count_if(sub).alias("substitutes"), F.max(F.when(sub, F.col("match_score"))).alias("best"))
 
 
-@query("SELECT l_extendedprice AS upper_median FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS c FROM lineitem) WHERE k = c // 2 + 1")
-def upper_median(m):
-    return synthetic.upper_median(m.table("lineitem"), "l_extendedprice")
-
-
 # ------------------------------------------------------------------ windows
 @query("SELECT event_id, lag(value) OVER w AS before, count(CASE WHEN value > 20 THEN value END) OVER w AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def running_history(m):
@@ -279,12 +243,6 @@ def sliding_rate(m):
     return serving.trailing_count(m.table("events"), "user_id", "ts", 36_000).select("event_id", "trailing")
 
 
-@query()
-def rate_limit_exact(m):
-    rows = m.table("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return serving.rate_limit(rows, "user_id", "us", "event_id", limit=2, seconds=36_000).select("event_id", "allowed")
-
-
 # ------------------------------------------------------------------ signals and alerts
 @query(" SELECT source_item_id, target_item_id, match_type AS relation, 'peer_found' AS peer_status FROM found UNION ALL SELECT item_id, NULL, NULL, 'not_enough_evidence' FROM offers WHERE item_id NOT IN (SELECT source_item_id FROM found)", 1)
 def peer_groups(m):
@@ -342,10 +300,17 @@ def alerts_current(m):
  FROM found f JOIN events e ON e.item_id = f.target_item_id WHERE (event_type = 'price_changed' AND num_old > num_new) OR event_type = 'promotion_changed'
  QUALIFY row_number() OVER (PARTITION BY f.source_item_id, e.snapshot_date, t ORDER BY f.match_score DESC, f.target_shop_id, f.target_item_id) = 1),
 best AS (SELECT source_item_id AS item_id, target_item_id FROM found WHERE match_type IN ('same_product', 'same_product_variant') QUALIFY row_number() OVER (PARTITION BY source_item_id ORDER BY match_score DESC, target_shop_id, target_item_id) = 1)
-SELECT r.item_id AS source_item_id, r.snapshot_date, r.a.t AS alert_type, CASE WHEN r.a.t LIKE 'our_%' THEN b.target_item_id ELSE v.target_item_id END AS target_item_id
-FROM raised r LEFT JOIN moved v ON v.item_id = r.item_id AND v.snapshot_date = r.snapshot_date AND v.t = r.a.t LEFT JOIN best b ON b.item_id = r.item_id""", 2)
+SELECT r.item_id AS source_item_id, r.snapshot_date, r.a.t AS alert_type, CASE WHEN r.a.t LIKE 'our_%' THEN b.target_item_id ELSE v.target_item_id END AS target_item_id,
+ g.peers::BIGINT AS peer_count, g.bench::BIGINT AS benchmark_peer_count, CASE WHEN r.a.t IN ('competitor_price_down', 'competitor_promotion_started') THEN 'qualified_substitute_activity' ELSE 'normalized_price_equivalent' END AS comparison_scope,
+ round(g.mid, 4) AS peer_median_price, round(g.gap, 4) AS price_gap_pct, round(g.dgap, 4) AS discount_gap_pct, g.down::BIGINT AS price_down_peer_count, g.started::BIGINT AS promotion_peer_count, round(g.peer_mom, 4) AS peer_sales_momentum_pct,
+ round(g.pressure, 6) AS pressure_score, g.trust AS signal_confidence
+FROM raised r JOIN signals g ON g.item_id = r.item_id AND g.snapshot_date = r.snapshot_date LEFT JOIN moved v ON v.item_id = r.item_id AND v.snapshot_date = r.snapshot_date AND v.t = r.a.t LEFT JOIN best b ON b.item_id = r.item_id""", 2)
 def alert_evidence(m):
-    return m.alerts().select("source_item_id", "snapshot_date", "alert_type", "target_item_id")
+    """Targets and the evidence JSON, read back key by key."""
+    kind = "peer_count long, benchmark_peer_count long, comparison_scope string, peer_median_price double, price_gap_pct double, discount_gap_pct double, price_down_peer_count long, promotion_peer_count long, peer_sales_momentum_pct double, pressure_score double, signal_confidence string"
+    held = m.alerts().withColumn("e", F.from_json("evidence", kind)).select("source_item_id", "snapshot_date", "alert_type", "target_item_id", "e.*")
+    exact = ("peer_median_price", "price_gap_pct", "discount_gap_pct", "peer_sales_momentum_pct")
+    return held.select(*[r(c, 6) if c == "pressure_score" else r(c) if c in exact else F.col(c) for c in held.columns])
 
 
 # ------------------------------------------------------------------ recommendations
@@ -368,17 +333,17 @@ decided AS (SELECT *, CASE WHEN seeded AND raw IN ('recommended', 'constraint_bl
  WHEN trust = 'high' AND cost IS NOT NULL AND NOT seeded THEN 'high' WHEN trust IN ('high', 'medium') THEN 'medium' ELSE 'low' END AS confidence, round(new_price, 4) AS recommended_price, round(floor, 4) AS price_floor,
  CASE WHEN cost > 0 AND new_price > 0 THEN floor(floor((new_price - cost) / new_price * 10000 + 0.5) / 100 + 0.5) END AS margin FROM decided""", 2)
 def recommend_with_cost(m):
-    return m.recommendations().select("source_item_id", "status", "action", "priority", "confidence", r("recommended_price"), r("price_floor"), F.round(F.col("estimated_margin_pct"), 0).alias("margin"))
+    return m.recommendations().withColumnRenamed("recommendation_status", "status").select("source_item_id", "status", "action", "priority", "confidence", r("recommended_price"), r("price_floor"), F.round(F.col("estimated_margin_pct"), 0).alias("margin"))
 
 
 @query(DECIDE_SQL + " SELECT status, action, count(*) AS cards FROM decided GROUP BY 1, 2", 2)
 def recommend_status_counts(m):
-    return m.recommendations().groupBy("status", "action").agg(F.count("*").alias("cards"))
+    return m.recommendations().groupBy(F.col("recommendation_status").alias("status"), "action").agg(F.count("*").alias("cards"))
 
 
 @query(DECIDE_SQL.replace("CASE WHEN s.item_id % 3 <> 0 THEN s.list_price * 0.5 END AS cost, coalesce(s.item_id % 3 <> 0 AND s.item_id % 4 = 1, FALSE) AS seeded", "CAST(NULL AS DOUBLE) AS cost, FALSE AS seeded") + " SELECT item_id AS source_item_id, status, priority FROM decided", 2)
 def recommend_no_cost(m):
-    return recommend.recommendations(m.signals(), m.peers()).select("source_item_id", "status", "priority")
+    return recommend.recommendations(m.signals(), m.peers()).select("source_item_id", F.col("recommendation_status").alias("status"), "priority")
 
 
 @query(""", last AS (SELECT s.*, a.price_variant_ambiguous AS amb FROM signals s JOIN attributes a USING (item_id) QUALIFY row_number() OVER (PARTITION BY s.item_id ORDER BY s.snapshot_date DESC) = 1),
@@ -645,31 +610,12 @@ def injection_flags(m):
     return m.table("documents").select("doc_id", F.size(text.injection_reasons(s)).alias("reasons"))
 
 
-# ------------------------------------------------------------------ synthetic market and streaming form
-@query()
-def synth_daily(m):
-    return synthetic.daily(synthetic.offers(m.spark))
-
-
-@query("SELECT unnest(['duplicate_offer', 'negative_stock', 'sold_above_demand', 'nonpositive_price', 'orphan_daily', 'self_pair']) AS rule, 0::BIGINT AS violations")
-def synth_invariants(m):
-    o = synthetic.offers(m.spark)
-    return synthetic.violations(o, synthetic.daily(o), synthetic.labelled_pairs(o))
-
-
-@query()
-def synth_pairs(m):
-    return synthetic.labelled_pairs(synthetic.offers(m.spark))
-
-
-@query("SELECT p_partkey::VARCHAR AS offer_id, round(p_retailprice * 0.32 - 3, 4) AS contribution, round((p_retailprice * 0.32 - 3) / p_retailprice * 100, 4) AS contribution_pct FROM part")
-def unit_economics(m):
-    o = m.table("part").select(F.col("p_partkey").cast("string").alias("offer_id"), F.col("p_retailprice").alias("base_price"))
-    return synthetic.unit_economics(o, shipping=3.0).select("offer_id", r("contribution"), r("contribution_pct"))
-
-
+# ------------------------------------------------------------------ streaming form
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def windowed_counts(m):
     from ..streaming.events import windowed_counts as counts
 
     return counts(m.table("events")).select("window_start", "event_type", "events", r("value", 2))
+
+
+from . import catalog_files, catalog_reads, catalog_rules, catalog_synthetic  # noqa: E402, F401  (they register their queries)

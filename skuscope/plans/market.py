@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import recommend, signals, snapshots
+from ..operators import reads, recommend, signals, snapshots
 from ..sources.scratch import stage
 
 
@@ -44,7 +44,7 @@ class Market:
         o = self.offers()
         return o.select(
             "country_code", "shop_id", "item_id", (F.col("size") * 10).alias("total_weight_g"), F.lit(None).cast("double").alias("total_volume_ml"), F.lit(1).cast("bigint").alias("quantity"),
-            (F.col("size") % 7 == 0).alias("package_ambiguous"), (F.col("size") % 5 == 0).alias("price_variant_ambiguous"), "seller_entity_id", "company_id",
+            (F.col("size") % 7 == 0).alias("package_ambiguous"), (F.col("size") % 5 == 0).alias("price_variant_ambiguous"), "seller_entity_id", "company_id", F.col("company_id").alias("company_name"), F.col("seller_entity_id").alias("seller_entity_name"),
         )
 
     def matches(self) -> DataFrame:
@@ -93,6 +93,10 @@ class Market:
         source = F.when(F.col("item_id") % 4 == 1, "seeded_scenario").otherwise("verified_input")
         return o.select("country_code", "shop_id", "item_id", (F.col("list_price") * 0.5).alias("cost_value"), F.lit(10.0).alias("margin_min_pct"), source.alias("cost_source"))
 
+    def reads(self, scopes=None, runs=None) -> reads.Reads:
+        tables = {"products": self.products(), "attributes": self.attributes(), "peers": self.peers(), "signals": self.signals(), "alerts": self.alerts(), "recommendations": self.recommendations()}
+        return reads.Reads(tables, scopes, runs)
+
     def recommendations(self) -> DataFrame:
         return recommend.recommendations(self.signals(), self.peers(), self.costs())
 

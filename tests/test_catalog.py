@@ -1,15 +1,15 @@
 """Every registered query against its SQL oracle, and the registry's contract."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
 from skuscope.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"match_topk", "match_type_counts"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     if name in catalog.ORACLES:
@@ -25,14 +25,12 @@ def test_entry(spark):
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(e.queries())
 
 
-def test_matching_covers_every_offer(spark, tmp_path):
-    """Each offer has the top 10 of all its eligible partners, counted by brute force, or a placeholder."""
-    parts = [(i, f"{('small', 'red', 'old')[i % 3]} ring", f"Brand#{i % 7 + 1 if i < 38 else 30 + i % 2}", "LARGE", i % 9 + 1, 900.0 + i) for i in range(40)]
-    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
-    shop = {i: int(brand.split("#")[1]) for i, _, brand, *_ in parts}
-    want = {i: min(10, sum(j % 2 == i % 2 and shop[j] % 10 != shop[i] % 10 for j in shop)) for i in shop}
-    rows = catalog.QUERIES["match_topk"](spark, str(tmp_path)).collect()
-    assert {i: sum(r["source_item_id"] == i and r["target_item_id"] is not None for r in rows) for i in shop} == want
-    assert {r["source_item_id"] for r in rows} == set(shop)
-    counts = catalog.QUERIES["match_type_counts"](spark, str(tmp_path)).collect()
-    assert sum(r["rows"] for r in counts) == len(rows)
+def test_tiles_give_the_pairs_of_the_join(spark):
+    """Blocks cut into tiles of eight have the candidates and cosines of one whole block."""
+    from skuscope.operators import matching
+    from skuscope.plans.market import Market
+
+    held = catalog.listings(Market(spark, SF)).withColumn("oid", F.col("item_id"))
+    held = held.join(matching.vectors(matching.tfidf(held, "oid", "embedding_text"), "oid"), "oid", "left").cache()
+    whole, cut = ({(r["a"], r["b"]): round(r["semantic"], 9) for r in matching.block_cosines(held, tile).collect()} for tile in (512, 8))
+    assert whole == cut and set(whole) == {(r[0], r[1]) for r in catalog.QUERIES["match_candidates"](spark, SF).collect()}
