@@ -81,6 +81,36 @@ def read_recommendation(m):
     return m.reads().recommendation(*first_offer(m)).rows.select("source_item_id", "currency", "recommendation_status", "action", "priority", r("source_price"), r("market_reference_price"), r("source_discount_percent", 3))
 
 
+SAID = {
+    "watch": "'Theo dõi ' || watched || ' sản phẩm thay thế từ đơn vị bán khác. Các sản phẩm này hữu ích để quan sát cạnh tranh nhưng chưa đủ tương đương để làm giá mục tiêu.'",
+    "none": "'Chưa có đủ sản phẩm đối thủ tương đồng và đáng tin cậy; hệ thống chưa đề xuất thay đổi.'",
+    "outlier": "'Giá hiện tại nằm ngoài khoảng so sánh thông thường; cần kiểm tra lại dữ liệu trước khi hành động.'",
+    "reduce": "'Cân nhắc điều chỉnh giá về gần mức giá trung vị của nhóm đối thủ, sau khi xác nhận giá sàn.'",
+}
+
+
+@query(DECIDE_SQL + f""" SELECT item_id AS source_item_id, currency, round(floor, 4) AS price_floor, cost AS cost_value, CASE WHEN step IN ('watch', 'none', 'outlier') THEN NULL ELSE round(coalesce(discount_percent, 0), 3) END AS recommended_discount_percent, 10.0::DOUBLE AS margin_min_pct,
+ CASE WHEN status = 'scenario_only' THEN 'seeded_cost_not_verified' ELSE CASE step WHEN 'watch' THEN 'not_applicable' WHEN 'none' THEN 'not_applicable' WHEN 'outlier' THEN 'outlier_review_required' WHEN 'no_cost' THEN 'blocked_cost_missing' WHEN 'below' THEN 'market_below_margin_floor'
+  WHEN 'no_terms' THEN 'blocked_promotion_terms_missing' ELSE CASE WHEN cost IS NOT NULL THEN 'verified' ELSE 'unverified_cost_missing' END END END AS constraint_status,
+ array_to_string(list_filter([CASE WHEN step = 'watch' THEN 'substitute_benchmark_available' END, CASE WHEN step = 'watch' THEN 'price_target_not_comparable' END, CASE WHEN step = 'none' THEN 'not_enough_evidence' END, CASE WHEN step = 'outlier' THEN 'price_outlier' END,
+  CASE branch WHEN 'price' THEN 'price_above_peer_median' WHEN 'discount' THEN 'discount_below_peer_median' WHEN 'pressure' THEN 'competitive_pressure_observed' END,
+  CASE step WHEN 'no_cost' THEN CASE WHEN branch = 'price' THEN 'cost_required_before_price_change' ELSE 'cost_required_before_voucher' END WHEN 'reduce' THEN 'target_respects_margin_floor' WHEN 'below' THEN 'peer_median_below_margin_floor' WHEN 'no_terms' THEN 'promotion_terms_required_before_voucher' WHEN 'hold' THEN 'price_close_to_peer_median' END,
+  CASE WHEN status = 'scenario_only' THEN 'seeded_cost_scenario_not_executable' END], lambda x: x IS NOT NULL), ',') AS reasons,
+ CASE step WHEN 'watch' THEN {SAID["watch"]} WHEN 'none' THEN {SAID["none"]} WHEN 'outlier' THEN {SAID["outlier"]} WHEN 'reduce' THEN {SAID["reduce"]} ELSE 'Giữ nguyên giá hiện tại và tiếp tục theo dõi tín hiệu thị trường.' END AS recommendation_text,
+ 19::BIGINT AS evidence_fields, watched::BIGINT AS benchmark_peer_count, base_type AS price_baseline_type, round(list_price, 4) AS source_list_price, round(pressure, 6) AS pressure_score, 'context_only_not_price_target' AS benchmark_usage,
+ CASE WHEN cost IS NOT NULL THEN CASE WHEN seeded THEN 'seeded_scenario' ELSE 'verified_input' END END AS cost_source FROM decided""", 2)
+def recommendation_cards(m):
+    """Constraints, reasons, texts and the evidence JSON of every card."""
+    cards = m.recommendations()
+    assert len(cards.columns) == 24
+    kind = "benchmark_peer_count long, price_baseline_type string, source_list_price double, pressure_score double, benchmark_usage string, cost_assumption struct<cost_source: string>"
+    held = cards.withColumn("e", F.from_json("evidence", kind)).withColumn("evidence_fields", F.size(F.json_object_keys("evidence")))
+    return held.select(
+        "source_item_id", "currency", r("price_floor"), "cost_value", r("recommended_discount_percent", 3), "margin_min_pct", "constraint_status", F.concat_ws(",", F.from_json("reason_codes", "array<string>")).alias("reasons"), "recommendation_text",
+        n("evidence_fields"), "e.benchmark_peer_count", "e.price_baseline_type", r("e.source_list_price", 4, "source_list_price"), r("e.pressure_score", 6, "pressure_score"), "e.benchmark_usage", "e.cost_assumption.cost_source",
+    )
+
+
 @query(f" SELECT item_id AS source_item_id, snapshot_date, round(price, 4) AS source_price, trust AS signal_confidence FROM signals WHERE item_id = {FIRST} ORDER BY snapshot_date DESC LIMIT 1", 2)
 def read_market_signals(m):
     return m.reads().market_signals(*first_offer(m)).rows.select("source_item_id", "snapshot_date", r("source_price"), "signal_confidence")
