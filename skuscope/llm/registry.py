@@ -8,16 +8,20 @@ from .bpe_transducer import op1_byte_bpe
 from .chat_format import op2_chat_format
 from .embedding_dedup import op10_embedding_dedup
 from .language_id import op5_language_id
+from .lexical_search import SQL as SEARCH_SQL
+from .lexical_search import op12_lexical_search
 from .line_dedup import op6_line_dedup
 from .ngram_jaccard import op3_ngram_jaccard
 from .packing import op8_packing
 from .simhash import op4_simhash
 from .token_counts import op9_token_counts
 from .token_shards import op7_token_shards
+from .vector_codes import SQL as CODES_SQL
+from .vector_codes import op13_vector_codes
 
 
 def queries() -> dict:
-    found = (op1_byte_bpe, op2_chat_format, op3_ngram_jaccard, op4_simhash, op5_language_id, op6_line_dedup, op7_token_shards, op8_packing, op9_token_counts, op10_embedding_dedup)
+    found = (op1_byte_bpe, op2_chat_format, op3_ngram_jaccard, op4_simhash, op5_language_id, op6_line_dedup, op7_token_shards, op8_packing, op9_token_counts, op10_embedding_dedup, op12_lexical_search, op13_vector_codes)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -42,4 +46,4 @@ FROM f GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": CHAT_SQL}
+    return {"op2_chat_format": CHAT_SQL, "op12_lexical_search": SEARCH_SQL, "op13_vector_codes": CODES_SQL}
