@@ -14,6 +14,8 @@ from .line_dedup import op6_line_dedup
 from .ngram_jaccard import op3_ngram_jaccard
 from .packing import op8_packing
 from .simhash import op4_simhash
+from .suffix_dedup import SQL as SUFFIX_SQL
+from .suffix_dedup import op11_suffix_dedup
 from .token_counts import op9_token_counts
 from .token_shards import op7_token_shards
 from .vector_codes import SQL as CODES_SQL
@@ -21,7 +23,7 @@ from .vector_codes import op13_vector_codes
 
 
 def queries() -> dict:
-    found = (op1_byte_bpe, op2_chat_format, op3_ngram_jaccard, op4_simhash, op5_language_id, op6_line_dedup, op7_token_shards, op8_packing, op9_token_counts, op10_embedding_dedup, op12_lexical_search, op13_vector_codes)
+    found = (op1_byte_bpe, op2_chat_format, op3_ngram_jaccard, op4_simhash, op5_language_id, op6_line_dedup, op7_token_shards, op8_packing, op9_token_counts, op10_embedding_dedup, op11_suffix_dedup, op12_lexical_search, op13_vector_codes)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -46,4 +48,4 @@ FROM f GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": CHAT_SQL, "op12_lexical_search": SEARCH_SQL, "op13_vector_codes": CODES_SQL}
+    return {"op2_chat_format": CHAT_SQL, "op11_suffix_dedup": SUFFIX_SQL, "op12_lexical_search": SEARCH_SQL, "op13_vector_codes": CODES_SQL}
