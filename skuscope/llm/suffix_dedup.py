@@ -5,10 +5,11 @@ document, or earlier in the same one). Three steps find these strings:
 
 1. *Pieces.* Every window of ``length`` bytes has an anchor, its k-gram of smallest hash; equal
    windows have equal anchors. Runs of windows with one anchor are cut out as pieces, if a sketch
-   of the repeated anchors holds theirs. Equal pieces are collapsed before they are shuffled:
-   only the first goes on, the later ones are covered whole. Pieces then meet by anchor. An
-   anchor whose pieces exceed ``LIMIT`` bytes has them cut anew by longer grams, level by level;
-   at the last level a gram is a whole window, so that its pieces are all equal.
+   of the repeated anchors holds theirs, and meet by anchor in one shuffle. A task remembers the
+   pieces it has cut (``SEEN`` at most) and sends the text of a copy only if it starts before the one it knows. Anchors whose
+   pieces may exceed ``LIMIT`` bytes go another way: their equal pieces are collapsed before they
+   are shuffled, and what is left is cut anew by longer grams, level by level; at the last level a
+   gram is a whole window, so that the pieces of an anchor are all equal.
 2. *Merge.* A task indexes about ``PACK`` bytes of pieces at a time: the pieces of each document
    range (a shard) are sorted into a transform of their own, then the transforms are merged by
    refining their interleave: from the order of the suffixes by h symbols, one stable pass over
@@ -16,8 +17,9 @@ document, or earlier in the same one). Three steps find these strings:
    The pass at which two neighbours part is their common prefix; neighbours that are together
    after ``length`` bytes are a repeated interval. Symbols are several bytes wide, so that a
    pass refines by several bytes.
-3. *Spans.* In each interval all windows but the first are covered; a document's covered runs
-   are put together and cut out of its bytes.
+3. *Spans.* In each interval all windows but the first are covered (of equal pieces, one stands for
+   all in the index, and the later ones are covered whole); a document's covered runs are put
+   together and cut out of its bytes.
 
 Cases: a null text is empty; texts shorter than ``length`` stay whole; documents are ordered by
 doc_id, nulls first, those that repeat a doc_id by a hash of their text; rows that repeat both are
@@ -37,8 +39,10 @@ from .common import _BYTE, discard, in_bitmap, key_bitmap, materialize, mix, tex
 LENGTH = 100
 #: Windows looked at in one go; bytes of an anchor's pieces, of a merge and of one shard of it.
 CHUNK, LIMIT, PACK, SHARD = 1 << 17, 1 << 18, 1 << 20, 1 << 18
+#: Pieces that a task remembers.
+SEEN = 1 << 17
 _BASE = 0x9E3779B97F4A7C17
-PIECE = "m long, piece binary, doc_id long, th long, start long"
+PIECE = "m long, piece binary, doc_id long, th long, start long, windows long"
 
 
 def grams(length: int) -> list[int]:
@@ -111,13 +115,19 @@ def anchors(documents: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def cut_pieces(rows: DataFrame, length: int, k: int, bits=None) -> DataFrame:
-    """Pieces of (seed, text, doc_id, th, start), ``start`` being the text's own in its document."""
+    """Pieces of (seed, text, doc_id, th, start), ``start`` being the text's own in its document.
+
+    A piece is null if the task has seen an equal one that starts earlier; its anchor is then a hash of its place.
+    """
 
     def run(batches):
+        seen: dict[bytes, tuple] = {}
         for batch in batches:
             data, offsets = binary_buffers(batch.column(1))
             base, cut = int(offsets[0]), (offsets - offsets[0]).astype(np.int64)
-            seed, begin = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            seed, begin, th = (batch.column(c).to_numpy() for c in (0, 4, 3))
+            ids = batch.column(2).to_pylist()
+            doc = [(i is not None, i or 0, t) for i, t in zip(ids, th.tolist())]
             for m, first, windows in pieces_of(data, offsets, length, k):
                 if bits is not None:
                     kept = in_bitmap(bits.value, m)
@@ -127,10 +137,21 @@ def cut_pieces(rows: DataFrame, length: int, k: int, bits=None) -> DataFrame:
                 owner = np.searchsorted(cut, first, side="right") - 1
                 raw = data[base + int(first[0]) : base + int(first[-1] + windows[-1]) + length - 1].tobytes()
                 ends = first + windows + length - 1 - first[0]
-                piece = [raw[a:b] for a, b in zip((first - first[0]).tolist(), ends.tolist())]
+                start, m, piece = begin[owner] + first - cut[owner], m ^ seed[owner], []
+                for a, b, o, s in zip((first - first[0]).tolist(), ends.tolist(), owner.tolist(), start.tolist()):
+                    text, place = raw[a:b], (*doc[o], s)
+                    if seen.setdefault(text, place) < place:
+                        piece.append(None)
+                        continue
+                    seen[text] = place
+                    piece.append(text)
+                if len(seen) > SEEN:
+                    seen = {}
+                piece = pa.array(piece, pa.binary())
+                settled = piece.is_null().to_numpy(zero_copy_only=False)
+                m = np.where(settled, mix((start + th[owner]).view(np.uint64)).view(np.int64), m)
                 own = pa.array(owner)
-                m = m ^ seed[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(piece, pa.binary()), batch.column(2).take(own), batch.column(3).take(own), pa.array(begin[owner] + first - cut[owner])], ["m", "piece", "doc_id", "th", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), piece, batch.column(2).take(own), batch.column(3).take(own), pa.array(start), pa.array(windows)], ["m", "piece", "doc_id", "th", "start", "windows"])
 
     return rows.mapInArrow(run, PIECE)
 
@@ -249,25 +270,34 @@ def covered(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, length: in
     return held.owner[first], held.past[first], stop - first
 
 
-def index(groups: DataFrame, length: int, pack: int, shard: int) -> DataFrame:
-    """(doc_id, th, start, windows): covered runs of the pieces, which come sorted by anchor."""
+def index(pieces: DataFrame, length: int, pack: int, shard: int) -> DataFrame:
+    """(doc_id, th, start, windows): covered runs of the pieces, which meet by anchor."""
 
     def settle(t: pa.Table):
-        m = t["m"].to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-        t = t.take(pa.array(np.flatnonzero(np.repeat(np.diff(np.append(edge, len(m))) > 1, np.diff(np.append(edge, len(m)))))))  # a piece alone has none to share with
-        if not t.num_rows:
-            return None
+        """Covered runs of whole anchors: copies settled before, later ones of equal pieces, and what the index finds."""
         known, doc, th = ~t["doc_id"].is_null().to_numpy(zero_copy_only=False), t["doc_id"].fill_null(0).to_numpy(), t["th"].to_numpy()
-        start = t["start"].to_numpy()
-        order = np.lexsort((start, th, doc, known))
-        t, known, doc, th, start = t.take(pa.array(order)), known[order], doc[order], th[order], start[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (known[1:] != known[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
-        data, offsets = binary_buffers(t["piece"].combine_chunks())
-        owner, first, windows = covered(data, offsets, (np.cumsum(new) << 40) + start, length, shard)
-        own = t.take(pa.array(owner))
-        return pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), own["th"].combine_chunks(), pa.array(start[owner] + first), pa.array(windows)], ["doc_id", "th", "start", "windows"])
+        start, m = t["start"].to_numpy(), t["m"].to_numpy()
+        kind = t["piece"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        order = np.lexsort((start, th, doc, known, kind))
+        last, here = order[:-1], order[1:]
+        equal, again = np.zeros(len(m), dtype=bool), np.zeros(len(m), dtype=bool)
+        equal[here] = kind[here] == kind[last]
+        again[here] = equal[here] & (start[here] == start[last]) & (th[here] == th[last]) & (doc[here] == doc[last]) & (known[here] == known[last])  # of a repeated row
+        copy = equal & ~again | (kind < 0)
+        rest = np.flatnonzero(~equal & (kind >= 0))
+        _, place, size = np.unique(m[rest], return_inverse=True, return_counts=True)
+        rest = rest[size[place] > 1]  # a piece alone has none to share with
+        rest = rest[np.lexsort((start[rest], th[rest], doc[rest], known[rest]))]
+        out = [t.filter(pa.array(copy)).select(["doc_id", "th", "start", "windows"])]
+        if len(rest):
+            new = np.ones(len(rest), dtype=bool)
+            new[1:] = (known[rest[1:]] != known[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]]) | (th[rest[1:]] != th[rest[:-1]])
+            chosen = t.take(pa.array(rest))
+            data, offsets = binary_buffers(chosen["piece"].combine_chunks())
+            owner, first, windows = covered(data, offsets, (np.cumsum(new) << 40) + start[rest], length, shard)
+            own = chosen.take(pa.array(owner))
+            out.append(pa.table({"doc_id": own["doc_id"], "th": own["th"], "start": start[rest][owner] + first, "windows": windows}))
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     def run(batches):
         held, size = [], 0
@@ -288,14 +318,13 @@ def index(groups: DataFrame, length: int, pack: int, shard: int) -> DataFrame:
                 k = int(np.searchsorted(weight[edges - 1], done + pack)) if len(edges) else 0
                 if k >= len(edges):
                     break
-                if (out := settle(t.slice(lo, int(edges[k]) - lo))) is not None:
-                    yield out
+                yield from settle(t.slice(lo, int(edges[k]) - lo))
                 lo = int(edges[k])
             held, size = t.slice(lo).to_batches(), int(weight[-1]) - done
-        if held and (out := settle(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
+        if held:
+            yield from settle(pa.Table.from_batches(held).combine_chunks())
 
-    return groups.mapInArrow(run, "doc_id long, th long, start long, windows long")
+    return pieces.repartition("m").sortWithinPartitions("m").mapInArrow(run, "doc_id long, th long, start long, windows long")
 
 
 # --------------------------------------------------------------------------- tables
@@ -308,32 +337,29 @@ def named(documents: DataFrame) -> DataFrame:
 def repeated_runs(documents: DataFrame, length: int = LENGTH, limit: int | None = None, pack: int | None = None, shard: int | None = None) -> DataFrame:
     """(doc_id, th, start, windows): runs of windows that start earlier too, of (doc_id, text, th)."""
     limit, pack, shard = limit or LIMIT, pack or PACK, shard or SHARD
-    levels = grams(length)
-    several = materialize(anchors(documents, length, levels[0]).groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), "anchors")
-    bits = key_bitmap(several, "m")
-    zero = F.lit(0).cast("long")
-    pieces = cut_pieces(documents.select(zero.alias("seed"), "text", "doc_id", "th", zero.alias("start")), length, levels[0], bits)
-    runs = None
-    for level, k in enumerate(levels):
-        pieces = materialize(pieces, "pieces")
-        first = pieces.groupBy("m", "piece").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n"))
+    levels, runs, zero = grams(length), [], F.lit(0).cast("long")
+    several = materialize(anchors(documents, length, levels[0]).groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    pieces = cut_pieces(documents.select(zero.alias("seed"), "text", "doc_id", "th", zero.alias("start")), length, levels[0], key_bitmap(several, "m"))
+    heavy = several.filter(F.col("n") > limit // length).select("m")
+    for k in levels[1:]:
+        heavy = materialize(heavy, "heavy-anchors")
+        if heavy.isEmpty():
+            break
+        runs.append(index(pieces.join(heavy, "m", "left_anti"), length, pack, shard))
+        hot = materialize(pieces.join(heavy, "m", "left_semi"), "heavy-pieces")
+        first = hot.groupBy("m", "piece").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"))
         first = materialize(first.select("m", "piece", "f.doc_id", "f.th", "f.start"), "first-pieces")
         same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "th", "start")]
-        windows = (F.octet_length("piece") - (length - 1)).cast("long").alias("windows")
-        later = pieces.alias("p").join(first.select("doc_id", "th", "start").alias("f"), same[0] & same[1] & same[2], "left_anti").select("doc_id", "th", "start", windows)
-        rest = first
-        if level + 1 < len(levels):
-            heavy = materialize(first.groupBy("m").agg(F.sum(F.octet_length("piece")).alias("size")).filter(F.col("size") > limit).select("m"), "heavy-anchors")
-            rest = first.join(heavy, "m", "left_anti")
-        shared = index(rest.repartition("m").sortWithinPartitions("m"), length, pack, shard)
-        runs = later.unionByName(shared) if runs is None else runs.unionByName(later).unionByName(shared)
-        if level + 1 == len(levels) or heavy.isEmpty():
-            break
-        again = first.join(heavy, "m", "left_semi").select(F.col("m").alias("seed"), F.col("piece").alias("text"), "doc_id", "th", "start")
-        pieces = cut_pieces(again, length, levels[level + 1])
-    runs = materialize(runs, "runs")
+        runs.append(hot.alias("p").join(first.select("doc_id", "th", "start").alias("f"), same[0] & same[1] & same[2], "left_anti").select("doc_id", "th", "start", "windows"))
+        pieces = materialize(cut_pieces(first.select(F.col("m").alias("seed"), F.col("piece").alias("text"), "doc_id", "th", "start"), length, k), "pieces")
+        heavy = pieces.groupBy("m").agg(F.sum(F.octet_length("piece")).alias("size")).filter(F.col("size") > (limit if k < length else 1 << 62)).select("m")
+    runs.append(index(pieces, length, pack, shard))
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    out = materialize(out, "runs")
     discard(several)
-    return runs
+    return out
 
 
 def cut_out(documents: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
