@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.versions import NotPublished
 from . import serving
 from .signals import SOURCE
 from .snapshots import KEY
@@ -23,10 +24,6 @@ class Page(NamedTuple):
     total: DataFrame | None = None  # one row: total_count
 
 
-class NotPublished(LookupError):
-    """The newest run of the stage didn't succeed."""
-
-
 def _columns(df: DataFrame, names: list[str]) -> list:
     return [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, parse, score, text
-from ..operators import evaluate, matching, recommend, serving, signals, snapshots
+from ..operators import evaluate, matching, medians, recommend, serving, signals, snapshots
 from .registering import ORACLES, QUERIES, n, query, r
 
 # ------------------------------------------------------------------ ingest and cleaning
@@ -174,7 +174,19 @@ def j_block_pairs(m):
 # ------------------------------------------------------------------ aggregates
 @query("SELECT l_returnflag, median(l_quantity) AS med, median(CASE WHEN l_discount > 0.05 THEN l_quantity END) AS med_disc, min(l_tax) AS lo, max(l_tax) AS hi, count(*) FILTER (WHERE l_tax > 0.03) AS taxed FROM lineitem GROUP BY 1")
 def median_filter(m):
-    return m.table("lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("med"), F.median(F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))).alias("med_disc"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"), F.count_if(F.col("l_tax") > 0.03).alias("taxed"))
+    """Three groups over the whole table: medians from counts, the rest map-side."""
+    rows, key = m.table("lineitem"), ["l_returnflag"]
+    middle = medians.exact_medians(rows, key, {"med": F.col("l_quantity"), "med_disc": F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))})
+    return middle.join(rows.groupBy(*key).agg(F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"), F.count_if(F.col("l_tax") > 0.03).alias("taxed")), key)
+
+
+@query("""SELECT l_returnflag, l_linestatus, median(q) AS q, median(p) AS p, round(median(d), 6) AS d FROM (SELECT l_returnflag, l_linestatus, l_suppkey, median(l_quantity) AS q, median(l_extendedprice) AS p, median(l_discount) AS d FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def median_two_levels(m):
+    """Medians over suppliers of each supplier's medians, four groups over the whole table."""
+    rows, day = m.table("lineitem"), ["l_returnflag", "l_linestatus"]
+    names = {"q": "l_quantity", "p": "l_extendedprice", "d": "l_discount"}
+    seller = medians.exact_medians(rows, [*day, "l_suppkey"], {k: F.col(c) for k, c in names.items()})
+    return medians.exact_medians(seller, day, {k: F.col(k) for k in names}).select(*day, "q", "p", r("d", 6))
 
 
 @query("SELECT l_linestatus, count(DISTINCT (l_partkey, nullif(l_linenumber, 1))) AS tuples, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
@@ -439,7 +451,7 @@ listings AS (SELECT *, concat_ws(' ', product_type, nullif(brand_clean, ''), pro
 
 MATCH_SQL = LISTING_SQL + """, w AS (SELECT item_id AS id, ' ' || unnest(string_split_regex(trim(lower(embedding_text)), '\\s+')) || ' ' AS w FROM listings),
 g AS (SELECT id, substr(w, i, k) AS gram FROM (SELECT id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM (SELECT id, w, unnest(range(3, least(5, length(w)) + 1)) AS k FROM w WHERE length(w) > 2))),
-tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1),
+tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, gram LIMIT 50000),
 weighed AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM listings)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (gram)),
 v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM weighed),
 cand AS (SELECT s.item_id AS a, t.item_id AS b FROM listings s JOIN listings t ON s.country_code = t.country_code AND s.shop_id <> t.shop_id AND NOT (s.seller_entity_id <> '' AND s.seller_entity_id = t.seller_entity_id)
@@ -503,7 +515,7 @@ def match_candidates(m):
 
 @query(MATCH_SQL + " SELECT source_item_id AS a, target_item_id AS b, sem / 1e6 AS semantic, ty / 1e6 AS type_score, att / 1e6 AS attribute_score, pk / 1e6 AS pack_score, br / 1e6 AS brand_score, rel AS package_relation, match_score, match_type, confidence FROM scored")
 def match_features(m):
-    pairs = matching.scored_pairs(listings(m).withColumn("oid", F.col("item_id")), max_features=None)
+    pairs = matching.scored_pairs(listings(m).withColumn("oid", F.col("item_id")))
     return pairs.select(F.col("s.item_id").alias("a"), F.col("t.item_id").alias("b"), "semantic", "type_score", "attribute_score", "pack_score", "brand_score", "package_relation", "match_score", "match_type", "confidence")
 
 
@@ -512,12 +524,12 @@ MATCHED = ["country_code", "source_shop_id", "source_item_id", "target_shop_id",
 
 @query(MATCH_SQL + f" SELECT {', '.join(MATCHED)}, rank FROM matched")
 def match_topk(m):
-    return matching.match_offers(listings(m), max_features=None).select(*MATCHED, n("rank"))
+    return matching.match_offers(listings(m)).select(*MATCHED, n("rank"))
 
 
 @query(MATCH_SQL + " SELECT match_type, source_status, count(*) AS rows FROM matched GROUP BY 1, 2")
 def match_type_counts(m):
-    return matching.match_offers(listings(m), max_features=None).groupBy("match_type", "source_status").agg(F.count("*").alias("rows"))
+    return matching.match_offers(listings(m)).groupBy("match_type", "source_status").agg(F.count("*").alias("rows"))
 
 
 @query("""WITH w AS (SELECT item_id AS id, ' ' || unnest(string_split_regex(trim(lower(text)), '\\s+')) || ' ' AS w FROM benchmark),
@@ -618,4 +630,4 @@ def windowed_counts(m):
     return counts(m.table("events")).select("window_start", "event_type", "events", r("value", 2))
 
 
-from . import catalog_files, catalog_reads, catalog_rules, catalog_synthetic  # noqa: E402, F401  (they register their queries)
+from . import catalog_files, catalog_reads, catalog_rules, catalog_runs, catalog_synthetic  # noqa: E402, F401  (they register their queries)

@@ -29,7 +29,7 @@ class Market:
         )
 
     def products(self) -> DataFrame:
-        return stage(self.spark, (self.dir,), "products", self._products, "country_code")
+        return stage(self.spark, self.dir, "products", self._products, "country_code")
 
     def _products(self) -> DataFrame:
         """Yearly snapshots of what each offer sold."""
@@ -48,7 +48,7 @@ class Market:
         )
 
     def matches(self) -> DataFrame:
-        return stage(self.spark, (self.dir,), "matches", self._matches, "country_code")
+        return stage(self.spark, self.dir, "matches", self._matches, "country_code")
 
     def _matches(self, top_k: int = 10) -> DataFrame:
         """Offers of the same country, category and name in other shops, scored by size, top k."""
@@ -73,13 +73,13 @@ class Market:
         return signals.peer_groups(self.matches())
 
     def events(self) -> DataFrame:
-        return stage(self.spark, (self.dir,), "events", self._events, "country_code")
+        return stage(self.spark, self.dir, "events", self._events, "country_code")
 
     def _events(self) -> DataFrame:
         return snapshots.change_events(self.products())
 
     def signals(self) -> DataFrame:
-        return stage(self.spark, (self.dir,), "signals", self._signals, "country_code")
+        return stage(self.spark, self.dir, "signals", self._signals, "country_code")
 
     def _signals(self) -> DataFrame:
         return signals.market_signals(self.products(), self.attributes(), self.peers(), self.events())

@@ -34,3 +34,53 @@ def test_tiles_give_the_pairs_of_the_join(spark):
     held = held.join(matching.vectors(matching.tfidf(held, "oid", "embedding_text"), "oid"), "oid", "left").cache()
     whole, cut = ({(r["a"], r["b"]): round(r["semantic"], 9) for r in matching.block_cosines(held, tile).collect()} for tile in (512, 8))
     assert whole == cut and set(whole) == {(r[0], r[1]) for r in catalog.QUERIES["match_candidates"](spark, SF).collect()}
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_bounds_drop_no_partner(spark, tile):
+    """The best partners of tiles that drop pairs by their bounds are those of all pairs, scored in full."""
+    from skuscope.operators import matching, topk
+    from skuscope.plans.market import Market
+
+    held = catalog.listings(Market(spark, SF)).withColumn("oid", F.col("item_id"))
+    vectors = matching.with_vectors(held).cache()
+    columns = ["source_item_id", "target_item_id", "rank", "match_score", "match_type", "source_status"]
+    for k in (1, 4):
+        whole = matching.rank(held, matching.with_sides(matching.block_cosines(vectors), held), k)
+        found = topk.best_partners(vectors, k, tile).cache()
+        best = matching.rank(held, matching.with_sides(found, held), k)
+        assert sorted(map(tuple, best.select(columns).collect()), key=str) == sorted(map(tuple, whole.select(columns).collect()), key=str)
+        assert found.groupBy("a").count().agg(F.max("count")).first()[0] <= k * (2 if tile > 1000 else 40)
+
+
+def test_bounds_spare_products():
+    """Pairs that can't reach the k best are dropped before all grams are read."""
+    import numpy as np
+    import pandas as pd
+
+    from skuscope.operators import topk
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    n = 300
+    grams = [np.sort(rng.choice(5000, 60, replace=False)) for _ in range(n)]
+    rows = pd.DataFrame({"shop_id": np.arange(n) % 7, "item_id": np.arange(n), "brand_clean": "b", "product_type": "banh_gao", "is_bundle": False, "package_ambiguous": False})
+    rows["toks"] = [np.array([i % 50], dtype=np.int64) for i in range(n)]
+    rows["grams"], rows["weights"] = grams, [np.full(60, 60**-0.5)] * n
+    for c in topk.MEASURES:
+        rows[c] = np.nan if c == "volume_ml" else rng.integers(1, 30, n).astype(float)
+    ok = rows["shop_id"].to_numpy()[:, None] != rows["shop_id"].to_numpy()[None, :]
+    cosine, score = topk.best_in_tile(rows, rows, ok, 3, False)
+    exact = np.array([[len(np.intersect1d(a, b)) / 60 for b in grams] for a in grams])
+    want = topk.pick(np.where(ok, topk.shown(topk.base_scores(rows, rows) + 40 * np.rint(exact * 1e6).astype(np.int64)), -1), rows, 3)
+    got = topk.pick(score, rows, 3)
+    assert set(zip(*map(list, got))) == set(zip(*map(list, want)))
+    assert (score >= 0).sum() < 0.5 * ok.sum()
+
+
+def test_nearest_of_odd_vectors(spark):
+    from skuscope.operators import matching
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, []), (9, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r["a"], r["b"], r["rank"]) for r in matching.nearest(df, df, "id", "v", 3).collect())
+    assert got == [(1, 2, 1), (2, 1, 1), (5, 9, 1), (9, 5, 1)]
