@@ -129,18 +129,19 @@ def append_log(m):
     return serving.recent(files.read_log(m.spark, path, rows.schema.simpleString()[7:-1].replace(":", " ")), ["conv_id"], "turn", 2)
 
 
-@query("SELECT * FROM (VALUES ('a', 'success', 2), ('c', 'success', 1)) t(stage, status, runs)")
+@query("SELECT 'orders_' || o_orderstatus AS stage, 'success' AS status, count(*) AS rows, 2::BIGINT AS runs FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def run_manifest(m):
-    """Runs started and finished; a stage whose newest run failed or still runs isn't published."""
-    path = folder(m.spark, "runs")
+    """A run of each order status started and finished, then another; a stage whose newest run failed isn't published."""
+    path, found = folder(m.spark, "runs"), m.table("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).collect()  # three rows
     day = lambda k: AT + datetime.timedelta(days=k)
-    for k, (stage, status) in enumerate([("a", "failed"), ("a", "success"), ("b", "success"), ("b", "failed"), ("c", "success"), ("d", None)]):
+    for k, (status, rows) in enumerate(found * 2):
+        stage = f"orders_{status}"
         run = files.start_run(m.spark, path, stage, day(k))
-        if status:
-            files.finish_run(m.spark, path, run, stage, day(k), day(k) + datetime.timedelta(hours=1), status)
+        ends = "failed" if (status == "P") == (k >= len(found)) else "success"
+        files.finish_run(m.spark, path, run, stage, day(k), day(k) + datetime.timedelta(hours=1), ends, str(rows))
     runs = files.manifest(m.spark.read.parquet(path))
-    counts = runs.groupBy("stage").agg(F.count("*").cast("int").alias("runs"))
-    return serving.published(runs).join(counts, "stage").select("stage", "status", "runs")
+    counts = runs.groupBy("stage").agg(F.count("*").alias("runs"))
+    return serving.published(runs).join(counts, "stage").select("stage", "status", F.col("row_counts").cast("long").alias("rows"), "runs")
 
 
 @query("SELECT DISTINCT sha256('row ' || n_nationkey || chr(10)) AS sha256, length('row ' || n_nationkey) + 1 AS length FROM nation")

@@ -142,11 +142,12 @@ def test_scores_round_half_to_even(spark):
 
 
 def test_synthetic_market(spark):
-    o = synthetic.offers(spark, 24, 3)
+    parts = spark.range(1, 25).selectExpr("id as p_partkey", "900.0D + id / 10.0D as p_retailprice")
+    o = synthetic.offers(parts, 3)
     day = synthetic.daily(o, 30)
     assert o.count() == 72 and day.count() == 2160
     assert sorted(map(tuple, day.select("offer_id", "day_index", "observed_units_sold", "stock_on_hand").collect()), key=str) == sorted(
-        map(tuple, synthetic.daily(synthetic.offers(spark, 24, 3).repartition(3), 30).select("offer_id", "day_index", "observed_units_sold", "stock_on_hand").collect()), key=str
+        map(tuple, synthetic.daily(synthetic.offers(parts, 3).repartition(3), 30).select("offer_id", "day_index", "observed_units_sold", "stock_on_hand").collect()), key=str
     )
     for offer in (o.filter("regime = 'stockout'").first(), o.filter("regime = 'price_war'").first()):
         stock, total = None, 0
