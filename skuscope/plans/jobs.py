@@ -17,7 +17,7 @@ from ..functions import parse
 from ..operators import evaluate, matching, recommend, signals, snapshots
 from ..operators.reads import Reads
 from ..sources import files
-from ..sources.versions import Pin, Warehouse
+from ..sources.versions import Pin, Warehouse, blooms, clustered
 
 LABELS = {"review_label": "", "review_notes": "", "annotator": ""}
 
@@ -26,11 +26,6 @@ def _country(df: DataFrame) -> str | None:
     return "country_code" if "country_code" in df.columns else None
 
 
-def clustered(*keys: str):
-    """Rows of one key side by side, so that readers of a key skip row groups by their statistics."""
-    return lambda df: df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-
 def sheet(df: DataFrame, path: str, order: list, size: int) -> int:
     """The first ``size`` rows in ``order``, numbered, with empty columns for a reviewer, as one CSV file."""
     first = df.orderBy(*order).limit(size)
@@ -43,12 +38,15 @@ def sheet(df: DataFrame, path: str, order: list, size: int) -> int:
 # --------------------------------------------------------------------------- stages
 def ingest(warehouse: Warehouse, data_dir: str) -> dict:
     """Products and the other datasets, change events, quality counters."""
-    spark, ids, given = warehouse.spark, {}, {"data_dir": data_dir}
+    spark, ids, given, reports = warehouse.spark, {}, {"data_dir": data_dir}, []
     files.check_paths(spark, data_dir)
-    for dataset in files.DATASETS:
-        ids[dataset] = warehouse.publish(dataset, lambda pin, d=dataset: files.load(spark, data_dir, d), "country_code", given)
+    for dataset, (keys, _) in files.DATASETS.items():
+        rows, counters = files.counted_load(spark, data_dir, dataset)
+        near = clustered(*[k for k in keys if k != "snapshot_date"])
+        ids[dataset] = warehouse.publish(dataset, lambda pin, rows=rows: rows, "country_code", given, near, blooms(*[k for k in keys if k.endswith("_id")]), counters)
+        reports.append(files.report_row(dataset, warehouse.rows_of(ids[dataset])))
     ids["promotion_events"] = warehouse.publish("promotion_events", lambda pin: snapshots.change_events(pin.read("products")), "country_code", given)
-    ids["data_foundation"] = warehouse.publish("data_foundation", lambda pin: files.ingestion_report(spark, data_dir), None, given)
+    ids["data_foundation"] = warehouse.publish("data_foundation", lambda pin: spark.createDataFrame(reports, files.REPORT), None, given)
     return _rows(warehouse, ids)
 
 

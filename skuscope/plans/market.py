@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reads, recommend, signals, snapshots
 from ..sources.scratch import stage
+from ..sources.versions import clustered
 
 
 class Market:
@@ -29,7 +30,7 @@ class Market:
         )
 
     def products(self) -> DataFrame:
-        return stage(self.spark, self.dir, "products", self._products, "country_code")
+        return stage(self.spark, self.dir, "products", self._products, "country_code", clustered("country_code", "shop_id", "item_id"))
 
     def _products(self) -> DataFrame:
         """Yearly snapshots of what each offer sold."""
@@ -79,7 +80,7 @@ class Market:
         return snapshots.change_events(self.products())
 
     def signals(self) -> DataFrame:
-        return stage(self.spark, self.dir, "signals", self._signals, "country_code")
+        return stage(self.spark, self.dir, "signals", self._signals, "country_code", clustered("country_code", "source_shop_id", "source_item_id"))
 
     def _signals(self) -> DataFrame:
         return signals.market_signals(self.products(), self.attributes(), self.peers(), self.events())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
@@ -90,6 +90,30 @@ def load(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return first_wins(rows, DATASETS[dataset][0], ["source_file", "source_row"]).drop("source_row")
 
 
+def counted_load(spark: SparkSession, root: str, dataset: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows of ``load``, and counters to aggregate over them while they are written: one scan gives both.
+
+    Each row carries the number of source rows of its key, so the counters need no second read.
+    """
+    keys, _ = DATASETS[dataset]
+    rows, w = typed(read_snapshots(spark, root, dataset), dataset), Window.partitionBy(*keys)
+    held = rows.withColumns({"__n": F.count(F.lit(1)).over(w), "__rn": F.row_number().over(w.orderBy("source_file", "source_row"))}).filter("__rn = 1")
+    counters = {"source_rows": F.coalesce(F.sum("__n"), F.lit(0))}
+    if dataset == "products":
+        price = F.col("price")
+        counters |= {"null_price_rows": F.count_if(price.isNull()), "invalid_price_rows": F.count_if(price <= 0), "outlier_price_rows": F.count_if(price >= 10_000_000)}
+    return held.drop("source_row"), counters
+
+
+def report_row(dataset: str, counted: dict) -> tuple:
+    """A row of ``REPORT`` from a dataset's loaded rows and counters."""
+    source, loaded = counted["source_rows"], counted[dataset]
+    return (dataset, source, loaded, source - loaded, *[counted.get(c) for c in ("null_price_rows", "invalid_price_rows", "outlier_price_rows")])
+
+
+REPORT = "dataset string, source_rows long, loaded_rows long, duplicate_rows long, null_price_rows long, invalid_price_rows long, outlier_price_rows long"
+
+
 def ingestion_report(spark: SparkSession, root: str) -> DataFrame:
     """Source, loaded and duplicate rows of each dataset, and the price counters of products."""
     out = None

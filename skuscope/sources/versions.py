@@ -16,7 +16,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = "run_id string, stage string, status string, started_at timestamp, finished_at timestamp, metadata string, row_counts string, error_message string"
@@ -36,6 +36,16 @@ def filesystem(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def clustered(*keys: str) -> Callable[[DataFrame], DataFrame]:
+    """A layout with rows of near keys side by side: readers of a key skip files and row groups by their statistics."""
+    return lambda df: df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def blooms(*columns: str) -> dict[str, str]:
+    """Writer options for Bloom filters, which rule out row groups that a column's range doesn't."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place, fs = filesystem(spark, path)
     fs.delete(place, True)
@@ -82,26 +92,29 @@ class Warehouse:
         return grouped.select("run_id", *[f"x.{f}" for f in fields], F.coalesce("x.metadata", "given").alias("metadata"))
 
     # ------------------------------------------------------------------ writing
-    def publish(self, stage: str, build: Callable[[Pin], DataFrame], partition: str | None = None, metadata: dict | None = None, layout: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    def publish(self, stage: str, build: Callable[[Pin], DataFrame], partition: str | None = None, metadata: dict | None = None, layout: Callable[[DataFrame], DataFrame] | None = None, options: dict | None = None, counters: dict[str, Column] | None = None) -> str:
         """Runs ``build`` on the versions of this moment and publishes its rows; returns the run's id.
 
-        ``layout`` orders or deals the rows before they are written. Any error is logged, what
-        was written is deleted, and the error goes on.
+        ``layout`` orders or deals the rows before they are written, ``options`` are the writer's,
+        ``counters`` are aggregates of the rows as they are written (columns that begin with ``__``
+        serve these alone) and stand beside the row count in the log.
+        Any error is logged, what was written is deleted, and the error goes on.
         """
         pin, started, run_id = self.pin(), now(), f"{stage}-{uuid.uuid4().hex[:12]}"
         self._append(run_id, stage, "running", started, None, json.dumps(metadata or {}, default=str), None, None)
         seen = Observation(run_id)
         try:
             rows = build(pin)
-            rows = (layout(rows) if layout else rows).observe(seen, F.count(F.lit(1)).alias("rows"))
-            writer = rows.write.mode("errorifexists")
+            rows = (layout(rows) if layout else rows).observe(seen, F.count(F.lit(1)).alias(stage), *[c.alias(n) for n, c in (counters or {}).items()])
+            rows = rows.drop(*[c for c in rows.columns if c.startswith("__")])
+            writer = rows.write.mode("errorifexists").options(**(options or {}))
             (writer.partitionBy(partition) if partition else writer).parquet(self.path(stage, run_id))
         except Exception as error:
             delete(self.spark, self.path(stage, run_id))
             self._append(run_id, stage, "failed", started, now(), None, None, str(error)[:500])
             raise
         given = json.dumps((metadata or {}) | {"inputs": pin.used}, default=str)
-        self._append(run_id, stage, "success", started, now(), given, json.dumps({stage: seen.get["rows"]}), None)
+        self._append(run_id, stage, "success", started, now(), given, json.dumps(seen.get), None)
         return run_id
 
     def path(self, stage: str, run_id: str) -> str:
@@ -116,7 +129,7 @@ class Warehouse:
         return self.runs().filter("status = 'success'")
 
     def rows_of(self, run_id: str) -> dict[str, int]:
-        """Rows that a run has written, by table."""
+        """Rows that a run has written, by table, and its counters."""
         got = self.runs().filter(F.col("run_id") == run_id).first()
         return json.loads(got["row_counts"] or "{}") if got else {}
 

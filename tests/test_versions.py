@@ -10,7 +10,7 @@ from skuscope.operators.incremental import EventFeed
 from skuscope.operators.snapshots import change_events
 from skuscope.plans import jobs
 from skuscope.sources import files, scratch
-from skuscope.sources.versions import NotPublished, Warehouse, fingerprint
+from skuscope.sources.versions import NotPublished, Warehouse, blooms, clustered, fingerprint
 from test_sources import put
 
 
@@ -61,6 +61,29 @@ def test_stage_follows_its_data(spark, tmp_path):
     assert scratch.stage(spark, path, "x", build).count() == 7 and len(made) == 2
 
 
+def scanned(df):
+    """Rows that the scans of a collected frame have read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+    leaves, out = plan.collectLeaves(), 0
+    for k in range(leaves.size()):
+        out += leaves.apply(k).metrics().get("numOutputRows").get().value()
+    return out
+
+
+def test_point_reads_skip_row_groups(spark, tmp_path):
+    """A read of one offer meets one row group of a clustered table, and by Bloom filter none for an unknown one."""
+    w, n = Warehouse(spark, str(tmp_path / "w")), 60_000
+    rows = spark.range(n).selectExpr("'vn' as country_code", "id % 50 as shop_id", "id * 2 as item_id", "repeat(md5(cast(id as string)), 4) as payload").orderBy("payload")
+    small = {"parquet.block.size": str(1 << 18), "parquet.page.size": "16384", "parquet.block.size.row.check.min": "100"}
+    w.publish("clustered", lambda pin: rows, "country_code", None, clustered("country_code", "shop_id", "item_id"), small | blooms("item_id"))
+    w.publish("plain", lambda pin: rows, "country_code", None, None, small)
+    read = lambda stage, item: w.pin().read(stage).filter(f"country_code = 'vn' and shop_id = {item // 2 % 50} and item_id = {item}")
+    near, far, none = read("clustered", 20_002), read("plain", 20_002), read("clustered", 20_003)
+    assert [len(df.collect()) for df in (near, far, none)] == [1, 1, 0]
+    assert scanned(near) <= n // 10 and scanned(near) * 4 < scanned(far) and scanned(none) == 0
+
+
 def test_jobs_publish_and_gate(spark, tmp_path):
     head = "date,shop_id,item_id,product_name,price,brand,catid,discount_percent,promotion_id\n"
     for shop, name in ((5, "Sữa bột milo 400g"), (7, "Sua bot milo 400g hop"), (8, "Bột sữa milo 380g")):
@@ -74,6 +97,7 @@ def test_jobs_publish_and_gate(spark, tmp_path):
     w, at = Warehouse(spark, str(tmp_path / "w")), lambda x: str(tmp_path / x)
     run = lambda *a: jobs.main([*a, "--warehouse", at("w")], spark)
     assert run("ingest", "--data-dir", at("data"))["rows"]["products"] == 9
+    assert rows_of(w.pin().read("data_foundation")) == rows_of(files.ingestion_report(spark, at("data")).select(*w.pin().read("data_foundation").columns))
     with pytest.raises(NotPublished):
         jobs.gated_reads(w).list_products("vn")
     got = run("match", "--registry", at("registry.csv"), "--review-file", at("review"), "--review-size", "10")
