@@ -83,19 +83,19 @@ def _squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+# Shop words of brands, and the brackets, links and signs that titles lose.
+_SHOP_WORDS = r"\b(?:official\s*(?:store|shop)|officialstore|store|shop)\b"
+_TITLE_NOISE = (r"\[[^\]]*\]", r"https?://\S+|www\.\S+", r"[^a-z0-9%+.,/x\s-]")
+
+
 def brand(c: Column) -> Column:
     c = remove_accents(F.lower(F.coalesce(c, F.lit(""))))
-    c = F.regexp_replace(c, r"\b(?:official\s*(?:store|shop)|officialstore|store|shop)\b", " ")
+    c = F.regexp_replace(c, _SHOP_WORDS, " ")
     return _squeeze(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
 def title(c: Column) -> Column:
     c = remove_accents(F.lower(F.coalesce(c, F.lit(""))))
-    for pattern in [r"\[[^\]]*\]", *MARKETING, r"https?://\S+|www\.\S+", r"[^a-z0-9%+.,/x\s-]"]:
+    for pattern in [_TITLE_NOISE[0], *MARKETING, *_TITLE_NOISE[1:]]:
         c = F.regexp_replace(c, pattern, " ")
     return _squeeze(c)
-
-
-def half_even(c: Column, digits: int) -> Column:
-    """Round half to even (banker's)."""
-    return F.bround(c, digits)

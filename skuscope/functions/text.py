@@ -29,6 +29,7 @@ ROUTES = [
     ("product_search", ["tìm", "search", "sản phẩm nào"]),
     ("market_overview", ["tổng quan", "overview", "thị trường", "market"]),
 ]
+# Claims of cause.
 CAUSAL = ["chắc chắn sẽ tăng", "sẽ tăng doanh thu", "guaranteed increase", "will increase revenue"]
 
 

@@ -563,9 +563,9 @@ def confusion_matrix(m):
 
 
 @query("""WITH l AS (SELECT DISTINCT quality AS label FROM labels), c AS (SELECT label, count(*) FILTER (WHERE quality = label AND toxic = label) AS tp, count(*) FILTER (WHERE quality <> label AND toxic = label) AS fp, count(*) FILTER (WHERE quality = label AND toxic <> label) AS fn FROM labels, l GROUP BY 1)
-SELECT label::BIGINT AS label, tp + fn AS support, round(tp / nullif(tp + fp, 0), 8) AS precision, round(tp / nullif(tp + fn, 0), 8) AS recall FROM c""")
+SELECT label::BIGINT AS label, tp + fn AS support, round(tp / nullif(tp + fp, 0), 8) AS precision, round(tp / nullif(tp + fn, 0), 8) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 8) AS f1 FROM c""")
 def class_prf(m):
-    return evaluate.class_scores(m.table("labels"), "quality", "toxic").select(n("label"), n("support"), r("precision", 8), r("recall", 8))
+    return evaluate.class_scores(m.table("labels"), "quality", "toxic").select(n("label"), n("support"), r("precision", 8), r("recall", 8), r("f1", 8))
 
 
 @query(""", g AS (SELECT source_item_id, count(*) AS c, min_by(match_type, rank) AS first, avg((match_type IN ('same_product', 'same_product_variant', 'substitute'))::INT) AS p5, min_by(source_status, rank) AS st FROM matches WHERE rank <= 5 GROUP BY 1)

@@ -61,9 +61,14 @@ def read_alerts_total(m):
     return m.reads().list_alerts("vn", company_id="company_2").total
 
 
-@query(CURRENT + f" SELECT snapshot_date, a.t AS alert_type, a.s AS severity, round(a.v, 4) AS metric_value FROM current WHERE item_id = {FIRST} ORDER BY a.s DESC, a.t LIMIT 10", 2)
+@query(CURRENT + " SELECT snapshot_date, a.t AS alert_type, a.s AS severity, round(a.v, 4) AS metric_value FROM current WHERE item_id = (SELECT min(item_id) FROM current WHERE country_code = 'vn' AND item_id > 0 AND shop_id > 0) ORDER BY snapshot_date DESC, a.s DESC, a.t LIMIT 10", 2)
 def read_competitor_alerts(m):
-    return m.reads().competitor_alerts(*first_offer(m)).rows.select("snapshot_date", "alert_type", "severity", r("metric_value"))
+    """The alerts of the smallest Vietnamese item that has any."""
+    held = m.reads()
+    shown = held.list_alerts("vn", limit=100).total.first()[0] and held._alerts().filter("country_code = 'vn' and source_item_id > 0 and source_shop_id > 0")
+    row = shown.agg(F.min(F.struct("source_item_id", "source_shop_id")).alias("x")).first()["x"] if shown else None
+    offer = ("vn", row["source_shop_id"], row["source_item_id"]) if row else first_offer(m)
+    return held.competitor_alerts(*offer).rows.select("snapshot_date", "alert_type", "severity", r("metric_value"))
 
 
 @query(DECIDE_SQL + " SELECT item_id AS source_item_id, action, priority FROM decided WHERE country_code = 'vn' AND status = 'needs_cost_validation' ORDER BY snapshot_date DESC, CASE priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, shop_id, item_id LIMIT 50", 2)
