@@ -33,10 +33,22 @@ SPREAD, FIELDS = (1 | 1 << 15 | 1 << 30 | 1 << 45), (1 | 1 << 16 | 1 << 32 | 1 <
 WORDS = [f"s{k}" for k in range(16)]
 
 
+#: Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han): their letters are taken two by two.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17DF\u3041-\u309F\u30A1-\u30FA\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFD}]"
+APART = r"[^\p{L}\p{M}\p{N}]+"
+
+
+def terms(low: Column) -> Column:
+    """Runs of letters and digits of a lower-case text (empty strings between them count nothing); in unspaced
+    scripts each letter with the next; a text without any of these is one term."""
+    paired = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})(?=({UNSPACED}))", "$1$2 ")).otherwise(low)
+    return F.when(low.rlike(r"[\p{L}\p{M}\p{N}]"), F.split(paired, APART)).otherwise(F.array(low))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys + fingerprint (long) of each row; ``keys`` identify a row."""
-    flat = F.lower(F.replace(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
-    words = texts.select(*keys, F.posexplode_outer(F.split(flat, " ")).alias("__pos", "__word"))
+    low = texts.select(*keys, F.lower(text).alias("__low"))
+    words = low.select(*keys, F.posexplode_outer(terms(F.col("__low"))).alias("__pos", "__word"))
     words = words.select(
         *keys, F.floor(F.coalesce("__pos", F.lit(0)) / RUN_WORDS).cast("int").alias("__run"),
         F.when(F.coalesce("__word", F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(TOP_WEIGHT), F.char_length("__word") - 2))).cast("long").alias("__w"),
