@@ -5,8 +5,9 @@ principal axes, then alternating sign codes and orthogonal fits, so that bits ar
 and lose little; several rotations from different starts give a code of ``BITS`` bits,
 whatever the vectors' length. Every vector is put into multi-index Hamming tables, each keyed
 by some blocks of its code. A key has a few bits more than the table's row count (so strangers
-in a bucket don't grow with the table), and as many tables are made as it takes for synthetic partners of
-the sample at exactly the threshold to be found with ``RECALL``. Vectors that meet in a table
+in a bucket don't grow with the table), and as many tables are made as it takes for synthetic partners,
+at exactly the threshold, of a part of the sample that nothing was fitted on to be found with ``RECALL``;
+if ``TABLES`` don't reach it, the job fails rather than lose links. Vectors that meet in a table
 are reranked by their original components in double precision; a pair links exactly if its
 cosine reaches the threshold. Candidates meet in tiles (see common.tile_groups), so a bucket
 of any size gives no list of all its pairs.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, in_sample, materialize, roots, sorted_groups, tile_groups
 
 SAMPLE, ROUNDS, RARE = 10_000, 30, 512
-#: Code bits, bits of a block, principal axes used, and the most tables.
-BITS, BLOCK, AXES, TABLES = 256, 2, 64, 160
+#: Code bits, bits of a block, principal axes used, and the most tables; one in HELD of the sample isn't fitted on.
+BITS, BLOCK, AXES, TABLES, HELD = 256, 2, 64, 1024, 4
 #: Members of a tile: a large group is spread over many tasks.
 TILE = 512
 RECALL, PROBES = 0.985, 1500
@@ -57,6 +58,7 @@ class Tables:
     """Fitted to unit vectors of one length; ``keys`` gives each vector's key in each table."""
 
     def __init__(self, x: np.ndarray, rows: int, threshold: float):
+        held, x = x[::HELD], np.delete(x, np.s_[::HELD], axis=0)
         self.mean = x.mean(axis=0)
         c = x - self.mean
         values, axes = np.linalg.eigh(c.T @ c)
@@ -67,7 +69,7 @@ class Tables:
         width = min(40, max(12, int(rows).bit_length() + 3))
         rng = np.random.Generator(np.random.PCG64(11))
         self.chosen = np.stack([rng.permutation(BITS // BLOCK)[: -(-width // BLOCK)] for _ in range(TABLES)])
-        self.chosen = self.chosen[: self.needed(x, threshold)]
+        self.chosen = self.chosen[: self.needed(held, threshold)]
 
     def code(self, x: np.ndarray) -> np.ndarray:
         bits = (x - self.mean) @ self.projection >= 0
@@ -90,8 +92,10 @@ class Tables:
             b = threshold * a + np.sqrt(1 - threshold**2) * move / np.maximum(size, 1e-12)[:, None]
             met = (self.keys(a) == self.keys(b))[size > 1e-9]
             found = np.maximum.accumulate(met, axis=1).mean(axis=0) if len(met) else np.ones(1)
+            if found[-1] < RECALL:
+                raise ValueError(f"{TABLES} tables find {found[-1]:.3f} of the partners at cosine {threshold}; more are needed")
             most = max(most, int(np.searchsorted(found, RECALL)) + 1)
-        return min(most, TABLES)
+        return most
 
 
 def usable():
