@@ -246,7 +246,7 @@ def train(docs: DataFrame, pieces: list[str], per_language: int = 200, rounds: i
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All rows of ``docs`` (all columns) with lang_pred and score added."""
-    return _predict(docs, model, [c for c in docs.columns if c not in ("lang_pred", "score")])
+    return _predict(docs, model, [c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
 
 
 def _predict(docs: DataFrame, model: Model, keep: list[str], report: bool = True) -> DataFrame:

@@ -401,7 +401,8 @@ def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH d AS (SELECT doc_id, octet_length(encode(COALESCE(text, ''))) AS n, hex(encode(COALESCE(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, x, unnest(range(0, n - {LENGTH - 1})) AS p FROM d)),
+c AS (SELECT doc_id, n, base, substr(x, 2 * base + 1, {2 * (1000 + LENGTH - 1)}) AS y FROM (SELECT doc_id, n, x, unnest(range(0, greatest(0, n - {LENGTH - 1}), 1000)) AS base FROM d)),
+w AS (SELECT doc_id, base + q AS p, md5(substr(y, 2 * q + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, base, y, unnest(range(0, least(1000, n - {LENGTH - 1} - base))) AS q FROM c)),
 l AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
 g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS new FROM l),
 i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM g),

@@ -155,20 +155,28 @@ def xxhash64(raw, seed=42):
     return xxhash.xxh64_intdigest(raw, seed)
 
 
+def brute_terms(text):
+    import regex
+
+    unspaced = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17df\u3041-\u309f\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003fffd]"
+    low = text.lower()
+    found = [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", regex.sub(f"({unspaced})(?=({unspaced}))", r"\1\2 ", low)) if w]
+    return found or [low] * bool(low)
+
+
 def brute_simhash(text):
     """Weighted votes of the words on each bit, one by one."""
     votes = [0] * 64
-    for w in re.split("[ \n\t]", text.lower()):
-        if w:
-            h, weight = xxhash64(w.encode()), max(1, min(7, len(w) - 2))
-            for b in range(64):
-                votes[b] += weight if h >> b & 1 else -weight
+    for w in brute_terms(text):
+        h, weight = xxhash64(w.encode()), max(1, min(7, len(w) - 2))
+        for b in range(64):
+            votes[b] += weight if h >> b & 1 else -weight
     return f"{sum(1 << b for b in range(64) if votes[b] > 0):016x}"
 
 
 def test_simhash(spark):
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    docs += [(9000, None), (9001, ""), (9002, "tiny"), (9003, "word " * 9000), (9004, "word " * 9000), (9005, "the cat sat on a mat"), (9006, "to be or not to be"), (9007, "the cat sat on a mat")]
+    docs += [(9000, None), (9001, ""), (9002, "tiny"), (9003, "word " * 9000), (9004, "word " * 9000), (9005, "the cat sat on a mat"), (9006, "to be or not to be"), (9007, "the cat sat on a mat"), (9008, "?! ..."), (9009, "...!"), (9010, "a,b;c\u00a0d\u3000e\r\nf 東京都 ภาษาไทย x9")]
     docs.sort()
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in docs], "doc_id long, text string, h string, n_chars int")
     out = M.fingerprint_documents(df)
@@ -195,6 +203,16 @@ def test_simhash(spark):
     assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows]) + 0.15
 
 
+def test_simhash_of_unspaced_texts(spark):
+    """A text without spaces is nearer to itself with a quarter replaced than to a stranger."""
+    rng = random.Random(5)
+    for lo, hi in ((0x4E00, 0x5200), (0x0E01, 0x0E2E), (0x3042, 0x3090)):
+        words = ["".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+        docs = [(i, "".join(rng.choice(words) for _ in range(500))) for i in range(12)]
+        rows = M.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows]) + 0.1
+
+
 def test_simhash_edges(spark):
     kind = "doc_id long, text string"
     assert M.fingerprint_documents(spark.createDataFrame([], kind)).count() == 0
@@ -315,7 +333,7 @@ def test_lines(spark):
 
 
 def test_lines_equal_brute_force(spark):
-    """Against all pairs of lines: nothing wrong, all equal lines, and the bands' recall of the similar ones."""
+    """Against all pairs of lines by edit similarity alone: nothing wrong, all equal lines, and the bands' recall of the similar ones."""
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     import pyarrow as pa
 
@@ -330,11 +348,14 @@ def test_lines_equal_brute_force(spark):
         by.setdefault(o[2], []).append(o)
     assert len({o[4] for o in occ}) == len(by)
     keys = sorted(by)
-    sims = np.array([by[k][0][3] for k in keys]).view(np.uint64)
+    size = np.array([len(k) for k in keys])
+    bytes_of = np.stack([np.bincount(np.frombuffer(k, np.uint8), minlength=256) for k in keys])
     links = []
-    for x in range(len(keys)):
-        for y in np.flatnonzero(np.bitwise_count(sims[x] ^ sims[x + 1 :]) <= L.RADIUS) + x + 1:
-            if L.similar(keys[x], keys[y], 80, 100):
+    for x in range(len(keys)):  # all pairs whose bytes allow it (an edit changes one byte of either line), by edit similarity alone
+        d, most = bytes_of[x] - bytes_of[x + 1 :], np.maximum(size[x], size[x + 1 :]) * 20 // 100
+        least = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+        for y in np.flatnonzero(least <= most) + x + 1:
+            if L.edit_distance(keys[x], keys[y], int(most[y - x - 1])) <= most[y - x - 1]:
                 links.append((x, int(y)))
     group = {}
     for x, root in rooted(range(len(keys)), links).items():
@@ -492,3 +513,32 @@ def test_pipeline(spark):
         held = spark.createDataFrame(list(after.values()), held.schema)
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, held, SF).select("doc_id").distinct().collect()} == {r["doc_id"] for r in held.collect()}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_similarity_bounds_change_nothing():
+    """What is settled by trimming and matched words agrees with the distance in full."""
+    rng = random.Random(1)
+    for _ in range(1500):
+        w = ["".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 14))]
+        v = list(w)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(v) + 1)
+            v[k : k + rng.randrange(2)] = ["".join(rng.choices("abc", k=rng.randrange(1, 5)))] * rng.randrange(2)
+        a, b = " ".join(w).encode(), " ".join(v).encode()
+        d = L.edit_distance(a, b, 10**6)
+        assert L.similar(a, b, 80, 100) == (bool(a and b) and d <= max(len(a), len(b)) * 20 // 100)
+        assert L.edit_distance(*L.trimmed(a, b), 10**6) == d <= sum(L.edit_distance(x, y, 10**6) for x, y in L.aligned(a, b))
+
+
+def test_names_that_differ_by_case(spark):
+    """An input column named like an added one, in other letters, is replaced; others stay."""
+    import public_tokenizers as P
+
+    rows = [(1, "one line of words\nanother line of words here", "en", 5, 0.5, 1), (2, "one line of words", "en", 6, 0.5, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, N_Lines int, Score double, __GONE int")
+    got = L.remove_lines(df, L.duplicate_lines(df.select("doc_id", "text")))
+    assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "Score", "__GONE", "n_lines", "n_removed"])
+    assert {r["doc_id"]: (r["text"], r["n_removed"], r["__GONE"]) for r in got.collect()} == {1: (rows[0][1], 0, 1), 2: ("", 1, 2)}
+    model = G.train(df.select("doc_id", "text", "lang"), G.load_pieces(P.path("piece_bpe_32k.model")))
+    out = G.predict(df, model)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "N_Lines", "__GONE", "lang_pred", "score"]) and out.count() == 2
