@@ -151,8 +151,26 @@ class Warehouse:
                 place, fs = filesystem(self.spark, self.path(run["stage"], run["run_id"]))
                 if fs.delete(place, True):
                     gone.append(run["run_id"])
+        self.compact()
         return gone
 
+    def compact(self) -> int:
+        """Puts the log's small files into one; returns how many there were.
+
+        The one is written before the others are deleted. Readers between the two meet entries
+        twice, which changes nothing, since a run counts by its last entry; entries that are appended
+        meanwhile stay in files of their own.
+        """
+        place, fs = filesystem(self.spark, f"{self.root}/{MANIFEST}")
+        old = [entry.getPath() for entry in fs.listStatus(place) if entry.getPath().getName().startswith("part-")]
+        if len(old) < 2:
+            return len(old)
+        entries = self.spark.read.schema(RUNS).parquet(*[p.toString() for p in old]).distinct()
+        entries.coalesce(1).sortWithinPartitions("started_at", "run_id").write.mode("append").parquet(f"{self.root}/{MANIFEST}")
+        for p in old:
+            fs.delete(p, False)
+        return len(old)
+
 
 class Pin:
     """One version of each stage; ``used`` names those that were read."""

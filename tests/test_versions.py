@@ -50,6 +50,20 @@ def test_pins_and_collection(spark, tmp_path):
     assert w.collect(1) == ["s-dead"] and w.pin().versions["s"] == three
 
 
+def test_log_is_compacted(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    for n in range(4):
+        w.publish("s", lambda pin, n=n: spark.range(n))
+    files_of = lambda: len(list((tmp_path / "w" / "_runs").glob("part-*")))
+    before, entries = rows_of(w.runs()), w.log().count()
+    assert files_of() == entries == 8 and w.compact() == 8 and files_of() == 1
+    assert rows_of(w.runs()) == before and w.log().count() == entries
+    w.log().coalesce(1).write.mode("append").parquet(str(tmp_path / "w" / "_runs"))  # as seen between writing and deleting
+    assert rows_of(w.runs()) == before
+    w.publish("s", lambda pin: spark.range(9))
+    assert w.compact() == 4 and w.pin().read("s").count() == 9 and w.log().count() == entries + 2
+
+
 def test_stage_follows_its_data(spark, tmp_path):
     path, made = str(tmp_path / "data"), []
     build = lambda: made.append(1) or spark.read.parquet(path)
