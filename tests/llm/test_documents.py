@@ -530,6 +530,21 @@ def test_similarity_bounds_change_nothing():
         assert L.edit_distance(*L.trimmed(a, b), 10**6) == d <= sum(L.edit_distance(x, y, 10**6) for x, y in L.aligned(a, b))
 
 
+def test_distances_side_by_side():
+    """Many pairs at once have the distances of each by itself, whatever their words and ends."""
+    rng = random.Random(3)
+    for low, high in ((1, 70), (120, 200)):
+        norm = [bytes(rng.choices(b"abcd ", k=rng.randrange(low, high))) for _ in range(40)]
+        norm += [x[: len(x) // 2] + b"zz" + x[len(x) // 2 :] for x in norm[:20]]
+        words = np.array([-(-len(x) // 64) for x in norm])
+        for w in np.unique(words):
+            i = np.repeat(np.flatnonzero(words == w), 12)
+            j = np.array([rng.randrange(len(norm)) for _ in i])
+            assert L.distances(norm, i, j).tolist() == [L.edit_distance(norm[a], norm[b], 10**9) for a, b in zip(i, j)]
+        i, j = np.triu_indices(len(norm), 1)
+        assert L.all_similar(norm, i, j, 80, 100).tolist() == [L.similar(norm[a], norm[b], 80, 100) for a, b in zip(i, j)]
+
+
 def test_names_that_differ_by_case(spark):
     """An input column named like an added one, in other letters, is replaced; others stay."""
     import public_tokenizers as P
