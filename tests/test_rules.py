@@ -136,6 +136,12 @@ def test_text_rules(spark):
             spark.createDataFrame([(wrong,)], "v string").select(text.parse_scope(F.col("v"))).collect()
 
 
+def test_scopes_keep_digits_of_their_place(spark):
+    given = [("vn:4,id:11",), ("id:10, vn:210,id:10",), (" VN : 1 ,, vn:1",), ("vn:3,id:11,vn:22",), (None,)]
+    got = spark.createDataFrame(given, "v string").select(text.parse_scope(F.col("v")).alias("s")).collect()
+    assert [[tuple(x) for x in r["s"]] for r in got] == [[("vn", 4), ("id", 11)], [("id", 10), ("vn", 210)], [("vn", 1)], [("vn", 3), ("id", 11), ("vn", 22)], []]
+
+
 def test_scores_round_half_to_even(spark):
     got = spark.createDataFrame([(0.0078125,), (0.0234375,), (0.1234564999,)], "v double").select(score.micro(F.col("v"))).collect()
     assert [r[0] for r in got] == [7812, 23438, 123456]
