@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skuscope.functions import clean, parse, score, text
 from skuscope.operators import evaluate, recommend, serving, signals, synthetic
+from skuscope.plans.registering import whole
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +103,12 @@ def test_decisions(spark):
         decide(spark, cost_value=1.0, margin_min_pct=100.0)
 
 
+def test_margins_of_losses_round_upwards(spark):
+    assert decide(spark, source_price=64.0, price_gap_pct=0.0, cost_value=66.0, margin_min_pct=10.0)["estimated_margin_pct"] == -3.12
+    got = spark.createDataFrame([(-22.5,), (-22.51,), (22.5,), (None,)], "v double").select(whole("v")).collect()
+    assert [x[0] for x in got] == [-22.0, -23.0, 23.0, None]
+
+
 def test_evaluation(spark):
     rows = [("k1", "same_product", 1), ("k2", "same_product_variant", 2), ("k3", "substitute", 3), ("k4", "near_match", 4), ("k5", "not_comparable", 5)]
     reviews = spark.createDataFrame([("vn", "1", "1", k, t, n, "matchable", "") for k, t, n in rows], "country_code string, source_shop_id string, source_item_id string, pair_key string, match_type string, rank int, source_status string, review_label string")
