@@ -49,3 +49,30 @@ def test_matches_are_those_of_all_pairs(spark, tmp_path):
         near = [(-round(0.5 + 0.5 * min(s[4], t[4]) / max(s[4], t[4]), 6), t[3], t[0]) for t in rows if s[1:3] == t[1:3] and s[3] != t[3] and s[5] != t[5]]
         wanted += [(s[0], k + 1, t[2], -t[0]) for k, t in enumerate(sorted(near)[:10])] or [(s[0], 1, None, 0.0)]
     assert found == sorted(wanted)
+
+
+def test_days_of_a_list_are_found_once(spark):
+    """Sources with one and the same list of peers: what their joins put out stays below sources x peers x days."""
+    from skuscope.operators import signals
+
+    n, peers_n, days = 60, 10, 7
+    attributes = spark.range(n + peers_n).selectExpr(
+        "'vn' as country_code", "1L as shop_id", "id as item_id", "100.0D as total_weight_g", "cast(null as double) as total_volume_ml", "1L as quantity",
+        "false as package_ambiguous", "false as price_variant_ambiguous", "concat('s', id) as seller_entity_id",
+    )
+    products = attributes.select("country_code", "shop_id", "item_id").crossJoin(spark.range(days).selectExpr("date_add(date'2026-01-01', cast(id as int)) as snapshot_date", "id as d")).selectExpr(
+        "country_code", "shop_id", "item_id", "snapshot_date", "100.0D + item_id + d as price", "5.0D as discount_percent", "10.0D + d as monthly_sold_value", "1L as rating_count", "1L as liked_count"
+    )
+    events = products.selectExpr("country_code", "shop_id", "item_id", "snapshot_date", "'price_changed' as event_type", "'9' as old_value", "'8' as new_value")
+    peers = spark.range(n).crossJoin(spark.range(n, n + peers_n).withColumnRenamed("id", "t")).selectExpr(
+        "'vn' as country_code", "1L as source_shop_id", "id as source_item_id", "1L as target_shop_id", "t as target_item_id", "0.9D as match_score", "'same_product' as relation", "'peer_found' as peer_status"
+    )
+    profiles = signals.source_profiles(peers, attributes)
+    daily = signals.peer_daily(products, attributes, peers, profiles)
+    moves = signals.event_daily(signals.activity_peers(attributes, peers), events)
+    best = signals.alert_targets(peers, events)
+    for found, rows in ((daily, n * days), (moves, n * days), (best, n * (days + 1))):
+        assert found.count() == rows and join_rows(found) < n * peers_n * days
+    a = daily.filter("source_item_id = 5").orderBy("snapshot_date").first()
+    assert (a["peer_count"], a["peer_min_price"], a["peer_median_price"], a["peer_max_price"]) == (10, 100.0 + n, 104.5 + n, 109.0 + n)
+    assert {(r["target_item_id"], r["kind"]) for r in best.collect()} == {(n, "price"), (n, "competitor_price_down")}
