@@ -76,3 +76,9 @@ def test_days_of_a_list_are_found_once(spark):
     a = daily.filter("source_item_id = 5").orderBy("snapshot_date").first()
     assert (a["peer_count"], a["peer_min_price"], a["peer_median_price"], a["peer_max_price"]) == (10, 100.0 + n, 104.5 + n, 109.0 + n)
     assert {(r["target_item_id"], r["kind"]) for r in best.collect()} == {(n, "price"), (n, "competitor_price_down")}
+
+
+def test_reads_make_only_the_tables_they_read(spark, tmp_path):
+    """There is no lineitem table here, so whoever makes products, signals or alerts fails."""
+    held = parts(spark, tmp_path, 2).reads()
+    assert held.list_companies("id").rows.count() > 0 and set(held.tables) == {"attributes"}
