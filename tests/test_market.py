@@ -82,3 +82,21 @@ def test_reads_make_only_the_tables_they_read(spark, tmp_path):
     """There is no lineitem table here, so whoever makes products, signals or alerts fails."""
     held = parts(spark, tmp_path, 2).reads()
     assert held.list_companies("id").rows.count() > 0 and set(held.tables) == {"attributes"}
+
+
+def test_matching_pairs_kinds_of_offers(spark, monkeypatch):
+    """Copies of an offer under other items: tiles get one of each kind, and the ranks are those of all pairs."""
+    from skuscope.operators import matching, synthetic
+    from skuscope.sources.scratch import written
+
+    parts = spark.range(1, 31).selectExpr("id as p_partkey", "900.0D + id as p_retailprice")
+    held = synthetic.listings(synthetic.offers(parts, 2)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    held = written(held.withColumn("item_id", F.col("item_id") + 10_000_000 * F.col("copy")).drop("copy").coalesce(2), "copies")
+    shown = ["source_shop_id", "source_item_id", "target_shop_id", "target_item_id", "rank", "match_score", "match_type", "source_status"]
+    numbered = written(held.withColumn("oid", F.monotonically_increasing_id()), "numbered")
+    expect = matching.rank(numbered, matching.with_sides(matching.best_partners(matching.with_vectors(numbered), 6), numbered), 6).select(*shown).collect()
+    given, whole = [], matching.best_partners
+    monkeypatch.setattr(matching, "best_partners", lambda offers, *rest, **more: given.append(offers.count()) or whole(offers, *rest, **more))
+    got = matching.match_offers(held, 6).select(*shown).collect()
+    assert set(map(tuple, got)) == set(map(tuple, expect)) and len(got) == len(expect) > 240
+    assert given == [60]
