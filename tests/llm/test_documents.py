@@ -385,6 +385,52 @@ def test_lines_recall(spark):
     assert len(want) > 140 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_lines_of_long_lists(spark, monkeypatch):
+    """Lists longer than a tile, of lines that share a passage and of near copies: as by brute force, and no pair is shuffled."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    passage, base = [word() for _ in range(30)], [word() for _ in range(40)]
+    lines = [" ".join([word() for _ in range(20)] + passage + [word() for _ in range(3)]) for _ in range(60)]
+    for _ in range(40):
+        copy = list(base)
+        copy[rng.randrange(40)] = word()
+        lines.append(" ".join(copy))
+    lines += [" ".join(x.split()[:-1] + [word()]) for x in lines[:5]]
+    monkeypatch.setattr(L, "TILE", 8)
+    monkeypatch.setattr("skuscope.llm.common.EVERY", 1)
+    met, write = [], L.materialize
+
+    def held(df, name):
+        out = write(df, name)
+        met.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "materialize", held)
+    got = {r["doc_id"] for r in L.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    norm = [L.normalise(x) for x in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if L.similar(norm[a], norm[b], 80, 100)]
+    assert got == {i for i, root in rooted(range(len(lines)), links).items() if root != i} == {*range(61, 105)}
+    lists = max(n for name, n in met if name == "postings")
+    assert max(n for name, n in met if name == "pairs") <= (L.NEXT + 1) * lists
+
+
+def test_distances_are_given_up_only_beyond_the_bound():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcd ", k=n)).encode()
+    norm, most = [], []
+    for n in (150, 190, 170, 130, 180) * 8:
+        a = text(n)
+        b = bytearray(a)
+        for _ in range(rng.choice([0, 3, 20, 60, 150])):
+            b[rng.randrange(len(b))] = rng.choice(b"abcd ")
+        norm += [a, bytes(b[rng.randrange(20):])]
+        most.append(rng.choice([2, 20, 40]))
+    i = np.arange(0, len(norm), 2)
+    most, true = np.array(most), np.array([L.edit_distance(norm[k], norm[k + 1], 10**6) for k in i])
+    got = L.distances(norm, i, i + 1, most)
+    assert ((got <= most) == (true <= most)).all() and (got == true)[true <= most].all()
+
+
 def test_embeddings(spark):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     rng = np.random.default_rng(0)
