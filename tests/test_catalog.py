@@ -36,6 +36,25 @@ def test_tiles_give_the_pairs_of_the_join(spark):
     assert whole == cut and set(whole) == {(r[0], r[1]) for r in catalog.QUERIES["match_candidates"](spark, SF).collect()}
 
 
+def test_pairs_are_met_by_many_tasks_and_judged_there(spark, monkeypatch):
+    """A few blocks fill many tasks, and pairs judged in tiles have the scores of rows."""
+    from skuscope.operators import matching, topk
+    from skuscope.plans.market import Market
+
+    held = catalog.listings(Market(spark, SF)).withColumn("oid", F.col("item_id")).cache()
+    ends = [F.col("s.item_id").alias("a"), F.col("t.item_id").alias("b")]
+    whole = matching.candidate_pairs(held).select(*ends)
+    with monkeypatch.context() as few:
+        few.setattr(topk, "PAIRS", 200)
+        cut = matching.candidate_pairs(held, 8).select(*ends)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    assert cut.groupBy(F.spark_partition_id()).count().count() > 10
+    columns = ["a", "b", "semantic", "type_score", "attribute_score", "pack_score", "price_score", "brand_score", "package_relation", "match_score", "match_type", "confidence"]
+    rows = matching.with_sides(matching.block_cosines(matching.with_vectors(held)), held).select(*ends, *columns[2:])
+    expect = sorted(map(tuple, rows.collect()))
+    assert expect and all(sorted(map(tuple, matching.scored_pairs(held, tile=tile).select(*columns).collect())) == expect for tile in (1024, 16))
+
+
 @pytest.mark.parametrize("tile", [1024, 7])
 def test_bounds_drop_no_partner(spark, tile):
     """The best partners of tiles that drop pairs by their bounds are those of all pairs, scored in full."""
