@@ -103,3 +103,26 @@ def test_nearest_of_odd_vectors(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = sorted((r["a"], r["b"], r["rank"]) for r in matching.nearest(df, df, "id", "v", 3).collect())
     assert got == [(1, 2, 1), (2, 1, 1), (5, 9, 1), (9, 5, 1)]
+
+
+def test_offers_are_shipped_a_few_times(spark):
+    """However many tiles a block holds, an offer of it is shipped to a few tasks, and categories without generic types aren't shipped."""
+    from skuscope.operators import topk
+
+    rows = spark.range(400).selectExpr("id as oid", "'vn' as country_code", "1L as catid", "false as is_gift", "if(id < 360, 'toner', 'unknown') as product_type")
+    met = topk.dealt_tiles(rows, ["oid"], 8, large=200).groupBy("block").agg(F.count("*").alias("n")).collect()
+    assert {r["block"]: r["n"] for r in met} == {"vn/t:toner": 360 * topk.SPLIT, "vn/c:1": 40 * 2 * topk.SPLIT + 360 * topk.SPLIT}
+    assert {r["block"] for r in topk.dealt_tiles(rows.filter("oid < 360"), ["oid"], 8).select("block").collect()} == {"vn/t:toner"}
+
+
+def test_vectors_are_those_of_the_grams(spark):
+    from skuscope.operators import matching
+
+    rows = [(1, " Bánh  quy AB ", 1), (2, "a bánh QUY quy", 3), (3, None, 1), (4, "  ", 1), (5, "zz", 1)]
+    docs = spark.createDataFrame(rows, "oid long, embedding_text string, copies long")
+    number = {g: k for k, g in enumerate(r["gram"] for r in matching.vocabulary(matching.char_ngrams(docs, "oid", "embedding_text").join(docs, "oid"), 12, "copies").collect())}
+    want = {}
+    for r in matching.tfidf(docs, "oid", "embedding_text", 12, "copies").collect():
+        want.setdefault(r["oid"], {})[number[r["gram"]]] = round(r["weight"], 12)
+    got = {r["oid"]: r["grams"] and dict(zip(r["grams"], [round(w, 12) for w in r["weights"]])) for r in matching.with_vectors(docs, 12, "copies").collect()}
+    assert len(want) < 5 and got == {k: want.get(k) for k in range(1, 6)}
