@@ -20,8 +20,12 @@ def dropped(m, name: str, rows, mark: bool = True) -> str:
     rows = rows.withColumn("dataset", F.lit(name)).withColumnsRenamed({"__country": "country_code", "__shop": "shop_id"})
     first = rows.columns[0]
     rows = rows.withColumnRenamed(first, files.BOM + first) if mark else rows
+    # a folder's files come from a few tasks, folders from all; tasks move their own files, as the driver would move all one by one
+    some = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(2))
+    moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
     for _ in range(2):
-        rows.repartition(2).write.mode("append").partitionBy("country_code", "dataset", "shop_id").options(header=True, escape='"').csv(root)
+        dealt = rows.repartition(m.spark.sparkContext.defaultParallelism, "country_code", "shop_id", some)
+        dealt.write.mode("append").partitionBy("country_code", "dataset", "shop_id").options(header=True, escape='"', **moved).csv(root)
     return root
 
 

@@ -99,3 +99,18 @@ def test_read_checks(spark):
     shown = reads.normalized_price(spark.createDataFrame([(10.0, True, False, 100.0, None, 1), (10.0, False, False, None, 200.0, 1)], "price double, package_ambiguous boolean, price_variant_ambiguous boolean, total_weight_g double, total_volume_ml double, quantity int"))
     assert [tuple(r) for r in shown.select("shown_price", "shown_basis").collect()] == [(None, None), (5.0, "100 ml")]
     assert reads.staleness(spark.createDataFrame([(day,)], "snapshot_date date").select(F.col("snapshot_date")), dt.date(2024, 1, 4)).first()["is_stale"]
+
+
+def test_shop_folders_are_written_by_all_tasks(spark, tmp_path):
+    """Each shop has a folder with every file twice, and the folders come from more than two tasks."""
+    import glob
+    import re
+
+    from skuscope.plans import catalog_files
+    from skuscope.plans.market import Market
+
+    rows = spark.range(1, 41).selectExpr("'2024-05-01' as date", "concat('n', id) as shop_name", "if(id % 2 = 0, 'vn', 'id') as __country", "id as __shop").repartition(1)
+    root = catalog_files.dropped(Market(spark, str(tmp_path)), "shop_info", rows).removeprefix("file://")
+    found = glob.glob(f"{root}/country_code=*/dataset=shop_info/shop_id=*/*.csv")
+    assert len(found) == 80 and len({f.rsplit("/", 1)[0] for f in found}) == 40
+    assert len({re.search(r"part-(\d+)-", f)[1] for f in found}) > 2
